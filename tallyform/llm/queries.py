@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, mixing, packing, simhash, toxicity
+from . import embedding_dedup, exact_dedup, language_id, mixing, packing, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_documents(spark, sf_dir))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,
