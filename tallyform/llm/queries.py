@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, mixing, packing, simhash, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, simhash, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_matches(_documents(spark, sf_dir))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.conversation_digests(said.union(more))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -53,13 +64,21 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.expr(url_filter.FETCH_DAY_SQL.replace("DATE '2024-01-01' + ", "date_add(DATE '2024-01-01', ") + ")").alias("day"))
+    return url_filter.as_of_verdicts(captures, spark.sql(url_filter.ENTRIES_SQL)).withColumn("day", F.col("day").cast("string"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,
+    "op10_url_filters": op10_url_filters,
 }
-SQL = {"op4_exact_dedup": OP4_SQL, "op9_source_mixing": mixing.MIX_SQL}
+SQL = {"op3_chat_formatting": chat_format.DIGEST_SQL, "op4_exact_dedup": OP4_SQL, "op9_source_mixing": mixing.MIX_SQL, "op10_url_filters": url_filter.VERDICT_SQL}
