@@ -26,7 +26,11 @@ def stream_state(arrivals: DataFrame, path: str) -> DataFrame:
     """
     spark = arrivals.sparkSession
     out, at = new_path(spark, "state"), new_path(spark, "stream")
-    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    keys = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB, f"{rocks}.changelogCheckpointing.enabled": "true",
+        f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": "192", f"{rocks}.writeBufferSizeMB": "4", f"{rocks}.maxWriteBufferNumber": "2", f"{rocks}.blockCacheSizeMB": "4",
+    }
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
