@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from .util import small_batches
 
 #: Labelled rows of each class that the lexicon is learned from, by hash of the id; all where there are fewer.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 LONGEST_STEM, SHORTEST_STEM = 12, 3
 
 # Characters read as the Latin letters that they imitate.
@@ -92,12 +93,11 @@ def evidence(toxic: int, clean: int, share: float) -> float:
     return toxic * math.log(p / share) + (clean * math.log((1 - p) / (1 - share)) if clean else 0.0)
 
 
-def learn(examples: list[tuple[list[str], int, set[str]]], longest: int = LONGEST_STEM) -> Lexicon:
-    """A lexicon from (distinct words, label, two-word phrases) of labelled rows.
+def learn(examples: list[tuple[list[str], int]], longest: int = LONGEST_STEM) -> Lexicon:
+    """A lexicon from (distinct words, label) of labelled rows.
 
     Of near copies one counts. Stems are taken one by one: the one with most evidence, of equals the longest, among the words that no earlier stem
-    matches, while the evidence is too large for chance among all stems of the toxic rows. A phrase that holds a
-    match only in clean rows, often enough, is an exception.
+    matches, while the evidence is too large for chance among all stems of the toxic rows.
     """
     examples = unlike(examples)
     toxic = [e for e in examples if e[1]]
@@ -130,11 +130,14 @@ def learn(examples: list[tuple[list[str], int, set[str]]], longest: int = LONGES
             break
         weights[best] = math.log((count[1][best] + 0.5) / (len(toxic) + 1)) - math.log((count[0][best] + 0.5) / (len(clean) + 1))
         held = [(rest, label) for words, label in held if (rest := [w for w in words if not w.startswith(best)])]
-    lexicon, lead = Lexicon(weights), tuple(weights)
-    good = Counter(p for e in clean for p in e[2] if any(w.startswith(lead) for w in p.split(" ")))
-    bad = Counter(p for e in toxic for p in e[2])
-    lexicon.exceptions = sorted(p for p, n in good.items() if n >= 5 and not bad[p])
-    return lexicon
+    return Lexicon(weights)
+
+
+def exceptions(phrases: list[tuple[set[str], int]], least: int = 5) -> list[str]:
+    """Two-word phrases around matches that stand in ``least`` clean rows and in no toxic one."""
+    good = Counter(p for found, label in phrases if not label for p in found)
+    bad = Counter(p for found, label in phrases if label for p in found)
+    return sorted(p for p, n in good.items() if n >= least and not bad[p])
 
 
 class Matcher:
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The lexicon from a bounded sample of labelled rows whose crc32(id) mod 5 isn't 0.
 
     The ids (n_toxic and n_clean at most, by hash) are drawn from the label table alone and broadcast: a bound, not a
-    guess. Executors send the sampled texts' distinct words and two-word phrases. Null labels, texts and ids are left
+    guess. Executors send the sampled texts' folded words. Null labels, texts and ids are left
     out; without both labels nothing is learned and every score is low.
     """
     spark = docs.sparkSession
@@ -209,25 +212,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = texts.join(F.broadcast(drawn), texts.doc_id == drawn.label_id).where("text is not null").select("text", "toxic")
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folder = Folder()
         for batch in batches:
-            found = [folder.words(t) for t in batch["text"]]
-            yield pd.DataFrame({"words": [sorted(set(w)) for w in found], "n": [len(w) for w in found], "toxic": batch["toxic"], "text": [" ".join(w) for w in found]})
-
-    got = rows.mapInPandas(words, "words array<string>, n int, toxic int, text string").collect()
-    got.sort(key=lambda r: (r["toxic"], r["text"]))
-    lexicon = learn([(r["words"], r["toxic"], set()) for r in got])
+            yield pd.DataFrame({"toxic": batch["toxic"], "text": [" ".join(folder.words(t)) for t in batch["text"]]})
+
+    got = sorted(((r["toxic"], r["text"]) for r in rows.mapInPandas(folded, "toxic int, text string").toLocalIterator()), reverse=True)
+    said = []  # rows of interned words: each distinct word is held once
+    while got:
+        label, text = got.pop()
+        said.append(([sys.intern(w) for w in text.split(" ") if w], label))
+    lexicon = learn([(list(dict.fromkeys(w)), label) for w, label in said])
     if lexicon.stems:
         lead = tuple(lexicon.stems)
-        examples = []
-        for r in got:
-            seq = r["text"].split(" ")
-            at = [i for i, w in enumerate(seq) if w.startswith(lead)]
-            examples.append((r["words"], r["toxic"], {" ".join(seq[a : a + 2]) for i in at for a in (i - 1, i) if a >= 0 and len(seq[a : a + 2]) == 2}))
-        lexicon = learn(examples)
+        phrases = []
+        for w, label in said:
+            at = [i for i, x in enumerate(w) if x.startswith(lead)]
+            phrases.append({" ".join(w[a : a + 2]) for i in at for a in (i - 1, i) if a >= 0 and len(w[a : a + 2]) == 2})
+        lexicon.exceptions = exceptions([(p, label) for p, (_, label) in zip(phrases, said, strict=True)])
     total = sum(counts.values())
-    return calibrate(lexicon, [(r["text"].split(" ") if r["text"] else [], r["toxic"]) for r in got], counts.get(1, 0) / total if total else 0.0)
+    return calibrate(lexicon, said, counts.get(1, 0) / total if total else 0.0)
 
 
 def score_udf(lexicon: Lexicon):
