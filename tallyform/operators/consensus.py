@@ -59,4 +59,4 @@ def merge_decisions(fields: DataFrame, decisions: DataFrame, keys: list[str]) ->
 def best_pass(tokens: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
     """keys and the run with the highest mean confidence times its token count up to 100; the first of equals."""
     score = tokens.groupBy(*keys, run).agg((F.avg("confidence") * F.least(F.count("*"), F.lit(100))).alias("score"))
-    return score.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), run)).alias("k")).select(*keys, F.col(f"k.{run}").alias(run), (-F.col("k.s")).alias("score"))
+    return score.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), run)).alias("_best")).select(*keys, F.col(f"_best.{run}").alias(run), (-F.col("_best.s")).alias("score"))

@@ -28,8 +28,8 @@ def thresholds(bins: DataFrame, keys: list[str]) -> DataFrame:
     mass = F.col("bin") * F.col("n")
     cum = counts.select(*keys, "bin", F.sum("n").over(up).alias("wb"), F.sum(mass).over(up).alias("sb"), F.sum("n").over(all_of).alias("w"), F.sum(mass).over(all_of).alias("s"))
     between = F.when(F.col("wb") < F.col("w"), F.col("wb") * (F.col("w") - F.col("wb")) * F.pow(F.col("sb") / F.col("wb") - (F.col("s") - F.col("sb")) / (F.col("w") - F.col("wb")), 2)).otherwise(0.0)
-    best = cum.groupBy(*keys).agg(F.min(F.struct((-between).alias("v"), "bin")).alias("k"))
-    return best.select(*keys, F.when(F.col("k.v") < 0, F.col("k.bin")).otherwise(128).cast("int").alias("threshold"))
+    best = cum.groupBy(*keys).agg(F.min(F.struct((-between).alias("v"), "bin")).alias("_best"))
+    return best.select(*keys, F.when(F.col("_best.v") < 0, F.col("_best.bin")).otherwise(128).cast("int").alias("threshold"))
 
 
 def padded_crop(x: Column, y: Column, width: Column, height: Column, image_width: Column, image_height: Column, padding: int = 6) -> Column:

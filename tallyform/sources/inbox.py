@@ -24,7 +24,7 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def image_stream(spark: SparkSession, path: str, archive: str | None = None, per_batch: int = 1000) -> DataFrame:
     """The same as a stream; files are put there by rename, so what is listed is complete. archive: where done ones go."""
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     found = reader.load(path).where(is_image(F.col("path")) & (F.col("length") > 0))
