@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,17 +14,25 @@ from pyspark.sql import functions as F
 from .ranks import class_ranks, salts
 from .util import small_batches, written
 
-#: Entries that a worker's table of encoded words may hold before it starts anew.
-MEMO = 200_000
+#: Entries of each of the two generations of a worker's table of encoded words.
+MEMO = 300_000
 PIECES = "doc_id long, loc_row long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself, or the next code point from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by the library's tokenizer.
 
     Where one space or one line feed stands between two characters that aren't white space, byte-level BPE's own
     split ends a unit (the space belongs to the next one), so the units between are encoded apart and remembered.
-    A text with any other white space at a unit's edge is encoded as a whole.
+    A Latin word is one unit of the split and goes to the tokenizer's model directly; a final full stop or comma is
+    a unit of its own; anything else, and lines with other white space at a unit's edge, goes to the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -30,41 +40,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.feed = self.whole("\n")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def units(self, keys: list[str]) -> None:
-        import numpy as np
-
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [k for k in dict.fromkeys(keys) if k not in self.memo]
-        plain = []
-        for k in new:
-            own = k[1:] if k[:1] == " " else k
-            if not own or own[0].isspace() or own[-1].isspace():
-                self.memo[k] = None
-            else:
-                plain.append(k)
-        for k, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.memo[k] = np.array(e.ids, dtype="<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def unit(self, key: str) -> bytes | None:
+        """Ids of a unit, with the space before it; None if it can't be encoded apart."""
+        found = self.memo.get(key, self)
+        if found is not self:
+            return found
+        found = self.older.get(key, self)
+        if found is self:
+            found = self.fresh(key)
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {}, self.memo
+        self.memo[key] = found
+        return found
+
+    def fresh(self, key: str) -> bytes | None:
+        own = key[1:] if key[:1] == " " else key
+        if not own or own[0].isspace() or own[-1].isspace():
+            return None
+        if own.isalpha() and max(own) < "\u0250":
+            return self.packed([t.id for t in self.model.tokenize(key.encode().decode("latin-1").translate(self.letters))])
+        if own[-1] in ".," and own[:-1].isalpha() and max(own) < "\u0250":
+            return self.unit(key[:-1]) + self.unit(own[-1])
+        return self.whole(key)
 
     def line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        keys = [first, *[" " + k for k in rest]]
-        memo = self.memo
+        keys = line.replace(" ", "\0 ").split("\0") if "\0" not in line else ["", ""]
         try:
-            return b"".join([memo[k] for k in keys])
-        except KeyError:
-            self.units(keys)
-        except TypeError:
-            return self.whole(line)
-        found = [self.memo.get(k) for k in keys]
+            return b"".join(map(self.memo.__getitem__, keys))
+        except (KeyError, TypeError):
+            found = list(map(self.unit, keys))
         return self.whole(line) if None in found else b"".join(found)
 
     def encode(self, text: str) -> bytes:
@@ -88,11 +104,17 @@ class Encoder:
         return self.feed.join(self.line(p) if "\n" not in p and p and not p[0].isspace() and not p[-1].isspace() else self.whole(p) for p in parts)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(tokenizer_file: str) -> Encoder:
+    """One encoder for a worker process, so that its table serves all of the process's tasks."""
+    return Encoder(tokenizer_file)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, most: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECES: a text's ids and end_id, cut from the end into pieces of ``most``; only the first may be shorter."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = []
