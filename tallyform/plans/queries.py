@@ -244,16 +244,15 @@ def segment_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' ')[1:6], lambda x: regexp_replace(trim(lower(x), $t${fixed.TRIM_TITLE}$t$), '^[0-9]+[.\\-_)]', '')), lambda x: x <> '') AS w FROM documents)
+WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(trim(lower(x), $t${fixed.TRIM_TITLE}$t$), '^[0-9]+[.\\-_)]', '')), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, list_bool_or(list_transform(w[1:3], lambda x: x IN ({_in(fixed.START_TITLES)}) OR regexp_matches(x, '^({"|".join(sorted({t.replace(" ", "").replace(".", "") for t in fixed.START_TITLES if len(t.replace(" ", "").replace(".", "")) >= 3}))})'))) IS TRUE AS starts FROM w""")
 def record_starts(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 6)
-    return table(spark, sf, "documents").select("doc_id", layout.starts_record(words).alias("starts"))
+    return table(spark, sf, "documents").select("doc_id", layout.starts_record(F.split("text", " ")).alias("starts"))
 
 
 def _synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of documents' first lines, laid out 12 to a row with a wavering y."""
-    words = F.filter(F.split(F.substring_index("text", "\n", 8), r"\s+"), lambda w: w != "")
+    """All words of documents, laid out 12 to a row with a wavering y."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     each = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.posexplode(words).alias("token_seq", "text"))
     k = F.col("token_seq")
     return each.select("image_id", F.lit("A").alias("variant"), "token_seq", "text", ((k % 12) * 60).cast("int").alias("x"), (F.floor(k / 12) * 40 + k % 5).cast("int").alias("y"), F.lit(50).alias("width"), (18 + k % 4).cast("int").alias("height"), (40.0 + (k * 13) % 60).alias("confidence"))
