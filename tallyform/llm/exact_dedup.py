@@ -106,6 +106,7 @@ def _differing(rows: DataFrame, repeated: DataFrame) -> DataFrame | None:
     bits = repeated.select(row.alias("bit_row"), bit.alias("bit")).groupBy("bit_row").agg(F.bitmap_construct_agg("bit").alias("bits"))
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hits = rows.withColumn("bit_row", row).withColumn("bit", bit).join(F.broadcast(bits), "bit_row").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).drop("bits", "bit", "bit_row")
+    hits, _ = written(hits, "hits")
     seen = repeated.select(F.col("top.loc_file").alias("loc_file"), F.col("top.loc_row").alias("loc_row"), F.col("digest").alias("d"))
     kept = hits.join(seen, ["loc_file", "loc_row"], "left_semi").select("digest", F.col("t").alias("kept_t"))
     return hits.join(kept, "digest").where("t <> kept_t").drop("kept_t")
