@@ -37,27 +37,30 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     nodes: tree, node, parent, score; a tree's nodes are unique and a parent precedes its replies (parent < node), or
     the node is a root. Each self-join doubles the distance to the ancestor that a node knows, with the score on the
-    way; the same tables, taken downwards, enumerate the chosen leaves' paths. Joins are on single nodes, so a large
+    way, and a node that has reached its root takes no part any more; the same tables, taken downwards, enumerate the chosen leaves' paths. Joins are on single nodes, so a large
     tree is spread; each round is a table in the shared folder. Leaves rank by total score, then depth, then node.
     """
     bare = nodes.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
     known = bare.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     firm = bare.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
     now, path = written(firm.select("tree", "node", F.col("n2").alias("anc"), F.when(F.col("n2").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score"), "reach")
-    jumps, paths = [now.select("tree", "node", "anc")], [path]
-    while now.where("anc is not null").limit(1).count():
-        up = now.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        step = now.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("anc") == F.col("n2")), "left")
-        now, path = written(step.select("tree", "node", F.col("a2").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "reach")
-        jumps.append(now.select("tree", "node", "anc"))
+    done, open_, jumps, paths = now.where("anc is null"), now.where("anc is not null"), [], [path]
+    while open_.limit(1).count():
+        jumps.append(open_.select("tree", "node", "anc"))
+        up = open_.union(done).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        step = open_.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("anc") == F.col("n2")))
+        now, path = written(step.select("tree", "node", F.col("a2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "reach")
+        done, open_ = done.union(now.where("anc is null")), now.where("anc is not null")
         paths.append(path)
-    inner = jumps[0].where("anc is not null").select(F.col("tree").alias("t2"), F.col("anc").alias("n2"))
-    leaves = now.join(inner, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+    leaves = done
+    if jumps:
+        inner = jumps[0].select(F.col("tree").alias("t2"), F.col("anc").alias("p2"))
+        leaves = done.join(inner, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("p2")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node"))
     chosen, path = written(leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"), "paths")
     distance = 1
-    for jump in jumps[:-1]:
-        on = jump.where("anc is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "anc")
+    for jump in jumps:
+        on = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "anc")
         more = chosen.join(on, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("depth") - distance).alias("depth"))
         grown, to = written(chosen.union(more), "paths")
         remove(nodes.sparkSession, path)
