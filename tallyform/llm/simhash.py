@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +17,20 @@ POSTING_BYTES = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3,
 #: Longer posting lists are searched by bit flips instead of by their pairs.
 LIST_PAIRS = 64
 HASH_BLOCK = 1 << 14
+#: The corpus stage: words of a shingle, and the Jaccard similarity of shingle sets, as a fraction, from which two texts are near copies.
+STAGE_WORDS, NUM, DEN = 5, 4, 5
+#: Longer lists of shingles are linked over their leaders first. Texts that the order of shingles is learned from, and how many of them make a shingle common.
+LIST_SETS, ORDER_TEXTS, COMMON = 16, 20_000, 8
 
 
-def fingerprint_of(text: bytes, words: int = 3) -> int:
-    """Unsigned fingerprint: bit i is 1 if over half of the shingles' XXH64 (seed 42) have it; 0 without words."""
+def shingle_hashes(text: bytes, words: int):
+    """XXH64 (seed 42) of each shingle, repeats too; fewer words than a shingle are one shingle, none are none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, starts, ends, at = b" ".join(found), [], [], 0
     for w in found:
         starts.append(at)
@@ -34,11 +38,21 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
         ends.append(at)
         at += 1
     ends = ends[words - 1 :] or [len(joined)]
+    return np.fromiter((xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts, ends, strict=False)), dtype="<u8", count=len(ends))
+
+
+def fingerprint_from(hashes) -> int:
+    """Unsigned fingerprint: bit i is 1 if over half of the shingles' hashes have it; 0 without shingles."""
+    import numpy as np
+
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(ends), HASH_BLOCK):
-        h = np.array([xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts[k : k + HASH_BLOCK], ends[k : k + HASH_BLOCK], strict=False)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(ends), bitorder="little").tobytes(), "little")
+    for k in range(0, len(hashes), HASH_BLOCK):
+        ones += np.unpackbits(hashes[k : k + HASH_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint_of(text: bytes, words: int = 3) -> int:
+    return fingerprint_from(shingle_hashes(text, words))
 
 
 def fingerprint_udf(words: int):
@@ -107,3 +121,120 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     grouped = rows.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
     gone = rows.join(grouped, "component_id", "left_semi").join(first, ["loc_file", "loc_row"], "left_anti").select("loc_file", "loc_row")
     return base.join(gone, ["loc_file", "loc_row"], "left_anti").select("row.*")
+
+
+def _sets_udf(words: int, common, ranks):
+    """fp, digest, n and prefix of a text's set of shingles; common shingles (sorted, with ranks) come last in its order."""
+
+    @F.pandas_udf("fp long, digest binary, n int, prefix array<long>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        import hashlib
+
+        import numpy as np
+
+        out = []
+        for t in texts:
+            h = shingle_hashes(t, words)
+            s, rank = np.unique(h), 0
+            if len(common) and len(s):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                rank = np.where(common[at] == s, ranks[at], 0)
+            first = s[np.lexsort((s, np.broadcast_to(rank, s.shape)))][: len(s) - -(-len(s) * NUM // DEN) + 1]
+            print_ = fingerprint_from(h)
+            out.append((print_ - (1 << 64) if print_ >> 63 else print_, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), first.view("<i8")))
+        return pd.DataFrame(out, columns=["fp", "digest", "n", "prefix"])
+
+    return made
+
+
+def _shingles_udf(words: int):
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series([np.unique(shingle_hashes(t, words)).view("<i8") for t in texts], dtype=object)
+
+    return shingles
+
+
+def _common_shingles(texts: DataFrame, words: int):
+    """Shingles of COMMON or more of about ORDER_TEXTS texts, sorted, and how many have them. They only order the sets: no result depends on them."""
+    import numpy as np
+
+    total = texts.count()
+    drawn = texts.sample(min(1.0, ORDER_TEXTS / total), seed=7) if total else texts
+    found = drawn.select(F.explode(_shingles_udf(words)("text")).alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= COMMON).toPandas()
+    common = found["token"].to_numpy(dtype="<i8").view("<u8")
+    order = np.argsort(common)
+    return common[order], found["n"].to_numpy(dtype="<i4")[order]
+
+
+def _fit(a: str, b: str) -> F.Column:
+    """Sizes and the places of the common shingle leave enough overlap."""
+    n_a, n_b, at_a, at_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    return (n_a * DEN >= n_b * NUM) & (n_b * DEN >= n_a * NUM) & (F.least(n_a - at_a, n_b - at_b) * (NUM + DEN) >= (n_a + n_b) * NUM)
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")]
+
+
+def _similar(candidates: DataFrame, sets: DataFrame, base: DataFrame, text, words: int) -> DataFrame:
+    """(src, dst): candidates (a, b) whose whole sets of shingles have a Jaccard similarity of NUM / DEN or more."""
+    candidates, _ = written(candidates.where("a <> b").distinct(), "candidates")
+    need = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "loc_file", "loc_row"), "sid")
+    whole, _ = written(base.select(text.alias("text"), "loc_file", "loc_row").join(need, ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles")
+    of = lambda side: whole.select(F.col("sid").alias(side), F.col("s").alias(f"s_{side}"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(common * DEN >= (F.size("s_a") + F.size("s_b") - common) * NUM).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")[0]
+
+
+def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_WORDS) -> DataFrame:
+    """(loc_file, loc_row) of all rows of located docs but one of each group linked by similarities of NUM / DEN or more.
+
+    Of a group the smallest id stays, then the first locator; null ids come last. Rows of equal sets are one set.
+    The fingerprint index proposes pairs within MOST_BITS. It reaches few of the pairs at 0.8, so sets also meet by
+    shingle: rare ones first, a set of n posts n - ceil(n NUM / DEN) + 1, which no similar pair escapes. Lists of up to
+    LIST_SETS give their pairs; in longer ones each set meets a leader of the list, and then those that aren't in the
+    list's largest component meet all sets of other components: no list is dropped, and a large group of copies doesn't
+    give its square. A long list of unlike sets still does. Each proposed pair is checked on its whole sets.
+    """
+    small_batches(base.sparkSession)
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
+    common, ranks = _common_shingles(base.select(text.alias("text")), words)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row")
+    made = base.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "loc_file", "loc_row", _sets_udf(words, common, ranks)(text).alias("s"))
+    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.prefix"), "rows")
+    firsts = rows.groupBy("digest").agg(F.min(key).alias("first"))
+    sets, _ = written(firsts.select("digest", "first", F.col("first.loc_file").alias("loc_file"), F.col("first.loc_row").alias("loc_row"), F.monotonically_increasing_id().alias("sid")), "sets")
+    held = rows.select("loc_file", "loc_row", "fp", "n", "prefix").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"])
+    posted = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
+    listed, _ = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "listed")
+    short, long = listed.where(F.col("size") <= LIST_SETS), listed.where(F.col("size") > LIST_SETS)
+    near = short.alias("a").join(short.alias("b"), F.expr("a.token = b.token and a.sid < b.sid")).where(_fit("a", "b")).select(*_pair("a", "b"))
+    lead = long.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "sid"), "sid", "n", "at")).alias("l")).select("token", "l.sid", "l.n", "l.at")
+    led = long.alias("a").join(lead.alias("b"), F.expr("a.token = b.token and a.sid <> b.sid")).where(_fit("a", "b")).select(*_pair("a", "b"))
+    prints, _ = written(rows.select("fp", "loc_file", "loc_row").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"]).select("fp", "sid"), "prints")
+    heads, _ = written(prints.groupBy("fp").agg(F.min("sid").alias("sid")), "heads")
+    alike = prints.alias("a").join(heads.alias("b"), "fp").select(*_pair("a", "b"))
+    links = fingerprint_links(heads.select("fp"))
+    close = links.join(heads.select(F.col("fp").alias("src"), F.col("sid").alias("x")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("sid").alias("y")), "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    edges = _similar(near.union(led).union(alike).union(close), sets, base, text, words)
+    if long.limit(1).count():
+        joined = connected_components(edges).withColumnRenamed("id", "sid")
+        placed, _ = written(long.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
+        largest = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("largest"))
+        others = placed.join(largest, "token").where("component <> largest")
+        rest = others.alias("a").join(placed.alias("b"), F.expr("a.token = b.token and a.component <> b.component and (b.component = a.largest or a.sid < b.sid)")).where(_fit("a", "b")).select(*_pair("a", "b"))
+        edges = edges.union(_similar(rest, sets, base, text, words))
+    joined = connected_components(edges).withColumnRenamed("id", "sid")
+    reach = sets.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    kept = reach.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))
+    return rows.select("loc_file", "loc_row").join(kept, ["loc_file", "loc_row"], "left_anti")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS) -> DataFrame:
+    """docs, in their own columns, without the rows that near_copies names."""
+    base = located(docs)
+    gone, _ = written(near_copies(base, id_col, text_col, words), "gone")
+    return base.join(gone, ["loc_file", "loc_row"], "left_anti").select("row.*")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyform.llm import chat_format, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, simhash, toxicity, url_filter
 from tallyform.llm.queries import tokenizer_file
 
@@ -96,6 +97,35 @@ def test_simhash_links_in_short_and_long_lists(spark, monkeypatch):
     assert roots(len(prints), got) == roots(len(prints), links)
 
 
+@pytest.mark.parametrize("lists", [2, 16])
+def test_near_copies_go(spark, odd, empty, monkeypatch, lists):
+    monkeypatch.setattr(simhash, "LIST_SETS", lists)
+    monkeypatch.setattr(simhash, "COMMON", 3)
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts, passage = [], words(60)
+    for _ in range(12):
+        body = words(int(rng.integers(40, 300)))
+        texts.append(body)
+        for k in range(int(rng.integers(0, 7))):
+            copy = list(body)
+            for at in rng.integers(0, len(copy), k):
+                copy[at] = "changed"
+            texts.append(copy)
+    texts += [passage + words(int(n)) for n in rng.integers(1, 60, 20)]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)] + [(500, "one two"), (501, "One  TWO"), (502, None), (503, " ")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    similar = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    assert len(similar) > 20
+    root, least = roots(len(rows), similar), {}
+    for i, r in enumerate(root):
+        least[r] = min(least.get(r, 10**9), rows[i][0])
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert not any(rows[i][0] in got and rows[j][0] in got for i, j in similar)
+    assert got == set(least.values())
+    assert corpus_pipeline.drop_near_copies(spark, odd, "").columns == odd.columns and corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
+
+
 def test_vector_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 20)
     rng = np.random.default_rng(3)
