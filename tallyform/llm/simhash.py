@@ -98,7 +98,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingle are one shingle. component_id is the smallest id (nulls aside) of all rows reachable by links. Repeated
     rows share a component. An empty table gives no rows.
     """
-    return _groups(located(docs), id_col, text_col, words)
+    return _groups(located(docs), id_col, text_col, words).drop("component")
 
 
 def _groups(base: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -109,17 +109,17 @@ def _groups(base: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     joined = connected_components(fingerprint_links(prints.select("fp")))
     reach = prints.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     groups = reach.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = reach.select("fp", "component").join(groups, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "loc_file", "loc_row")
+    named = reach.select("fp", "component").join(groups, "component").select("fp", "component", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "loc_file", "loc_row", "component")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate group, in their own columns: the smallest id, then the first locator."""
     base = located(docs)
     rows, _ = written(_groups(base, id_col, text_col, words), "groups")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "loc_file", "loc_row")).alias("k"), F.count("*").alias("n")).where("n > 1").select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))
-    grouped = rows.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    gone = rows.join(grouped, "component_id", "left_semi").join(first, ["loc_file", "loc_row"], "left_anti").select("loc_file", "loc_row")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "loc_file", "loc_row")).alias("k"), F.count("*").alias("n")).where("n > 1").select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))
+    grouped = rows.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(grouped, "component", "left_semi").join(first, ["loc_file", "loc_row"], "left_anti").select("loc_file", "loc_row")
     return base.join(gone, ["loc_file", "loc_row"], "left_anti").select("row.*")
 
 

@@ -97,6 +97,13 @@ def test_simhash_links_in_short_and_long_lists(spark, monkeypatch):
     assert roots(len(prints), got) == roots(len(prints), links)
 
 
+@pytest.mark.parametrize("drop", [simhash.one_of_each_group, simhash.without_near_copies])
+def test_near_copies_without_ids_go(spark, drop):
+    rows = [(None, "one two three four five six")] * 3 + [(None, "other words of this text here")] * 2 + [(3, "a third text that has an id"), (None, "a third text that has an id")]
+    got = [tuple(r) for r in drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
+
+
 @pytest.mark.parametrize("lists", [2, 16])
 def test_near_copies_go(spark, odd, empty, monkeypatch, lists):
     monkeypatch.setattr(simhash, "LIST_SETS", lists)
