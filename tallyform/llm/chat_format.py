@@ -93,9 +93,9 @@ def read_back(conversations: DataFrame) -> DataFrame:
     parts = F.transform(F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != ""), lambda p: F.substr(p, F.lit(len(OPEN) + 1)))
     head = lambda p: F.regexp_extract(p, r"^((?:[^\\\n]|\\[\s\S])*)\n", 1)
     turns = F.transform(parts, lambda p: F.struct(unescaped(head(p)).alias("role"), unescaped(F.substr(p, F.length(head(p)) + 2)).alias("text")))
-    # as UTF-32 a span is a slice of bytes, so that a long conversation isn't searched once per span
+    # as UTF-32 a span is a slice of bytes, so that a long conversation isn't searched once per span; the mark before it is what the decoder drops, not a U+FEFF of the text
     wide = F.encode("formatted", "UTF-32")
-    loss = F.transform("loss_spans", lambda s: F.decode(F.call_function("substring", F.col("wide"), (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32"))
+    loss = F.transform("loss_spans", lambda s: F.decode(F.concat(F.lit(bytearray(b"\x00\x00\xfe\xff")), F.call_function("substring", F.col("wide"), (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int"))), "UTF-32"))
     return conversations.withColumn("wide", wide).select("tree", "leaf", "rank", "formatted", turns.alias("turns"), F.array_join(F.transform(loss, unescaped), "").alias("loss_text"))
 
 

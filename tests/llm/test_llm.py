@@ -175,6 +175,13 @@ def test_chat_digests(spark):
     assert chat_format.conversation_digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["\ufeffab", "\ufeff", "\ufeff\ufeff😀", "\ufffeab", ""])
+def test_loss_text_keeps_a_leading_mark(spark, text):
+    said = [(1, 0, "user", "hi"), (1, 1, "assistant", text), (1, 2, "user", "so"), (1, 3, "assistant", "x\ufeff")]
+    (got,) = chat_format.conversation_digests(spark.createDataFrame(said, "conv_id long, turn int, role string, text string")).collect()
+    assert got["loss_chars"] == len(text) + 2 and got["loss_sha256"] == hashlib.sha256((text + "x\ufeff").encode()).hexdigest()
+
+
 def test_reply_trees(spark):
     nodes = [(1, None, 0.0), (2, 1, 5.0), (3, 1, 1.0), (4, 3, 9.0), (5, 2, 1.0), (9, 77, 0.5), (6, 6, 0.0)]
     df = spark.createDataFrame([("t", n, p, s, "user", f"m{n}") for n, p, s in nodes], "tree string, node long, parent long, score double, role string, text string")
