@@ -10,10 +10,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to) of entries (list, key, action add or remove, day).
 
     An addition holds from its day until the next event of the same list and key (null: it still holds). On one day
-    a removal comes after an addition. Keys are hosts (for their subdomains too) or host and path. Null or empty keys,
+    a removal comes after an addition. Keys are hosts (for their subdomains too) or host and path; case counts in paths alone. Null or empty keys,
     null days and other actions are left out; repeated entries change nothing.
     """
-    sound = entries.select(F.col("list"), F.lower("key").alias("key"), "action", F.col("day").cast("date").alias("day")).where("key <> '' and day is not null and action in ('add', 'remove')").distinct()
+    host = F.substring_index("key", "/", 1)
+    sound = entries.select(F.col("list"), F.concat(F.lower(host), F.substr("key", F.length(host) + 1)).alias("key"), "action", F.col("day").cast("date").alias("day")).where("key <> '' and day is not null and action in ('add', 'remove')").distinct()
     last = sound.groupBy("list", "key", "day").agg(F.max("action").alias("action"))
     after = F.lead("day").over(Window.partitionBy("list", "key").orderBy("day"))
     return last.withColumn("valid_to", after).where("action = 'add'").select("list", "key", F.col("day").alias("valid_from"), "valid_to")

@@ -312,6 +312,15 @@ def test_url_filter(spark):
     assert url_filter.as_of_verdicts(df.limit(0), entries).count() == 0
 
 
+def test_url_filter_paths_keep_case(spark):
+    day = "date '2024-03-01'"
+    entries = spark.sql(f"select 'pages' as list, stack(3, 'WWW.A.example/En/X', 'b.example/low', 'C.Example') as key, 'add' as action, {day} as day")
+    urls = ["http://www.a.example/En/X", "http://www.a.example/en/x", "http://B.example/low", "http://b.example/LOW", "http://d.c.example/Any"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("day", F.expr(day))
+    got = {r["page_id"]: r["blocked"] for r in url_filter.as_of_verdicts(captures, entries).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
 def test_pipeline_stages_chain(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
