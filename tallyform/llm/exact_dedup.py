@@ -11,6 +11,8 @@ from .util import located, new_path, remove, written
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The bit table of repeated digests has this many rows of 32,768 bits each: 4 MB at any size of corpus.
 BIT_ROWS = 1024
+#: Bytes of arrivals (digests and locators, not texts) in a micro-batch.
+BATCH_BYTES = 128 << 20
 
 
 def normalised(text) -> F.Column:
@@ -18,11 +20,11 @@ def normalised(text) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def stream_state(arrivals: DataFrame, path: str) -> DataFrame:
+def stream_state(arrivals: DataFrame, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Digest, stable identifier (largest id, then locator), that row's locator and the count, from a stream over ``path``.
 
     The state of each digest lives in RocksDB, never expires and is checkpointed in the shared folder; micro-batches
-    are bounded by bytes, and each emits the digests that it changed. The last state of a digest is its largest count.
+    are bounded by batch_bytes (one file at least), and each emits the digests that it changed. The last state of a digest is its largest count.
     """
     spark = arrivals.sparkSession
     out, at = new_path(spark, "state"), new_path(spark, "stream")
@@ -37,7 +39,7 @@ def stream_state(arrivals: DataFrame, path: str) -> DataFrame:
         spark.conf.set(k, v)
     try:
         state = (
-            spark.readStream.schema(arrivals.schema).option("maxBytesPerTrigger", str(64 << 30)).parquet(path)
+            spark.readStream.schema(arrivals.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(path)
             .groupBy("digest").agg(F.max(F.struct("doc_id", "loc_file", "loc_row")).alias("top"), F.count("*").alias("n"))
         )
         query = state.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
@@ -52,7 +54,7 @@ def stream_state(arrivals: DataFrame, path: str) -> DataFrame:
     return batches.groupBy("digest").agg(last).select("digest", F.col("s.top").alias("top"), F.col("s.n").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, loc_file, loc_row.
 
     Rows are equal when their normalised texts have the same bytes. The digest (SHA-256; ``digest`` is a weaker one
@@ -61,17 +63,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest; between repeated rows of one id the last locator stays). Empty and null texts are equal; an empty
     table gives no rows. Columns of other names are not read.
     """
-    return _dedup(located(docs), id_col, text_col, digest)
+    return _dedup(located(docs), id_col, text_col, digest, batch_bytes)
 
 
-def _dedup(base: DataFrame, id_col: str, text_col: str, digest=None) -> DataFrame:
+def _dedup(base: DataFrame, id_col: str, text_col: str, digest=None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     spark = base.sparkSession
     text, doc_id = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`").cast("long")
     key = digest or (lambda t: F.unhex(F.sha2(t, 256)))
     rows = base.select(doc_id.alias("doc_id"), "loc_file", "loc_row", normalised(text).alias("t"))
     sha = [F.sha2("t", 256).alias("text_sha256")] if digest else []
     arrivals, path = written(rows.select("doc_id", "loc_file", "loc_row", key(F.col("t")).alias("digest"), *sha), "arrivals")
-    state, held = written(stream_state(arrivals, path), "digests")
+    state, held = written(stream_state(arrivals, path, batch_bytes), "digests")
     repeated = state.where("n > 1")
     off = _differing(rows.withColumn("digest", key(F.col("t"))), repeated)
     regrouped, n_off, off_path = None, 0, None

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -64,6 +65,20 @@ def test_exact_dedup_keeps_columns(odd, empty):
     assert exact_dedup.keep_first_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("digest", [None, lambda t: F.substring(F.sha2(t, 256), 1, 1)])
+def test_exact_dedup_in_several_batches(spark, digest, tmp_path):
+    rows = [(i, f"text {i % 7}" if i < 60 else f"alone {i}") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    batches = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).glob("state-*/batch=*"))
+    before = batches()
+    got = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/docs"), digest=digest, batch_bytes=1).collect()
+    assert len(batches() - before) > 1
+    for r in got:
+        same = [i for i, t in rows if t == rows[r["doc_id"]][1]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(same), len(same), r["doc_id"] == max(same))
+    assert len(got) == len(rows)
+
+
 def brute_simhash(texts):
     import xxhash
 
