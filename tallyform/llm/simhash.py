@@ -148,22 +148,34 @@ def _sets_udf(words: int, common, ranks):
 
 
 def _shingles_udf(words: int):
-    @F.pandas_udf("array<long>")
+    """A text's set of shingles: sorted hashes, eight bytes each, which take no Python objects on their way."""
+
+    @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
         import numpy as np
 
-        return pd.Series([np.unique(shingle_hashes(t, words)).view("<i8") for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
     return shingles
 
 
+def _tokens_udf(words: int):
+    @F.pandas_udf("array<long>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series([np.unique(shingle_hashes(t, words)).view("<i8") for t in texts], dtype=object)
+
+    return tokens
+
+
 def _common_shingles(texts: DataFrame, words: int):
     """Shingles of COMMON or more of about ORDER_TEXTS texts, sorted, and how many have them. They only order the sets: no result depends on them."""
     import numpy as np
 
     total = texts.count()
     drawn = texts.sample(min(1.0, ORDER_TEXTS / total), seed=7) if total else texts
-    found = drawn.select(F.explode(_shingles_udf(words)("text")).alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= COMMON).toPandas()
+    found = drawn.select(F.explode(_tokens_udf(words)("text")).alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= COMMON).toPandas()
     common = found["token"].to_numpy(dtype="<i8").view("<u8")
     order = np.argsort(common)
     return common[order], found["n"].to_numpy(dtype="<i4")[order]
@@ -179,14 +191,25 @@ def _pair(a: str, b: str) -> list:
     return [F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")]
 
 
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    import numpy as np
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(common * DEN >= (len(x) + len(y) - common) * NUM)
+    return pd.Series(out, dtype=bool)
+
+
 def _similar(candidates: DataFrame, sets: DataFrame, base: DataFrame, text, words: int) -> DataFrame:
     """(src, dst): candidates (a, b) whose whole sets of shingles have a Jaccard similarity of NUM / DEN or more."""
     candidates, _ = written(candidates.where("a <> b").distinct(), "candidates")
     need = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "loc_file", "loc_row"), "sid")
     whole, _ = written(base.select(text.alias("text"), "loc_file", "loc_row").join(need, ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles")
     of = lambda side: whole.select(F.col("sid").alias(side), F.col("s").alias(f"s_{side}"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(common * DEN >= (F.size("s_a") + F.size("s_b") - common) * NUM).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")[0]
+    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")[0]
 
 
 def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_WORDS) -> DataFrame:
@@ -199,7 +222,7 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
     list's largest component meet all sets of other components: no list is dropped, and a large group of copies doesn't
     give its square. A long list of unlike sets still does. Each proposed pair is checked on its whole sets.
     """
-    small_batches(base.sparkSession)
+    small_batches(base.sparkSession, 64)
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     common, ranks = _common_shingles(base.select(text.alias("text")), words)
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row")
