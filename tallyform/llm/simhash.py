@@ -191,6 +191,17 @@ def _pair(a: str, b: str) -> list:
     return [F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")]
 
 
+def _tallied(meets: DataFrame) -> DataFrame:
+    """(a, b, c, need): pairs that fit, how many lists they met in, and how many posted shingles a similar pair shares at least.
+
+    Of the overlap, what isn't posted by both is beyond the postings of one: n NUM / DEN shingles, rounded up, less one.
+    """
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    need = F.ceil((n_a + n_b) * NUM / (NUM + DEN)) - F.greatest(F.ceil(n_a * NUM / DEN), F.ceil(n_b * NUM / DEN)) + 1
+    sized = meets.where((n_a * DEN >= n_b * NUM) & (n_b * DEN >= n_a * NUM)).select(*_pair("a", "b"), need.alias("need"), _fit("a", "b").alias("fits"))
+    return sized.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("fits").alias("fits")).where("fits").drop("fits")
+
+
 @F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     import numpy as np
@@ -220,7 +231,8 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
     shingle: rare ones first, a set of n posts n - ceil(n NUM / DEN) + 1, which no similar pair escapes. Lists of up to
     LIST_SETS give their pairs; in longer ones each set meets a leader of the list, and then those that aren't in the
     list's largest component meet all sets of other components: no list is dropped, and a large group of copies doesn't
-    give its square. A long list of unlike sets still does. Each proposed pair is checked on its whole sets.
+    give its square. A long list of unlike sets still does. The lists that a pair shares are counted; what they and the
+    postings leave room for is checked. Each proposed pair is checked on its whole sets.
     """
     small_batches(base.sparkSession, 64)
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
@@ -234,9 +246,12 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
     posted = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     listed, _ = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "listed")
     short, long = listed.where(F.col("size") <= LIST_SETS), listed.where(F.col("size") > LIST_SETS)
-    near = short.alias("a").join(short.alias("b"), F.expr("a.token = b.token and a.sid < b.sid")).where(_fit("a", "b")).select(*_pair("a", "b"))
-    lead = long.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "sid"), "sid", "n", "at")).alias("l")).select("token", "l.sid", "l.n", "l.at")
-    led = long.alias("a").join(lead.alias("b"), F.expr("a.token = b.token and a.sid <> b.sid")).where(_fit("a", "b")).select(*_pair("a", "b"))
+    near = short.alias("a").join(short.alias("b"), F.expr("a.token = b.token and a.sid < b.sid"))
+    longs = long.groupBy("sid").agg(F.count("*").alias("k"))
+    of = lambda side: longs.select(F.col("sid").alias(side), F.col("k").alias(f"k_{side}"))
+    near = _tallied(near).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("c") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= F.col("need")).select("a", "b")
+    lead = long.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid"), "sid", "n", "at")).alias("l")).select("token", "l.sid", "l.n", "l.at")
+    led = _tallied(long.alias("a").join(lead.alias("b"), F.expr("a.token = b.token and a.sid <> b.sid"))).where("c >= need").select("a", "b")
     prints, _ = written(rows.select("fp", "loc_file", "loc_row").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"]).select("fp", "sid"), "prints")
     heads, _ = written(prints.groupBy("fp").agg(F.min("sid").alias("sid")), "heads")
     alike = prints.alias("a").join(heads.alias("b"), "fp").select(*_pair("a", "b"))
@@ -248,8 +263,9 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
         placed, _ = written(long.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
         largest = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("largest"))
         others = placed.join(largest, "token").where("component <> largest")
-        rest = others.alias("a").join(placed.alias("b"), F.expr("a.token = b.token and a.component <> b.component and (b.component = a.largest or a.sid < b.sid)")).where(_fit("a", "b")).select(*_pair("a", "b"))
-        edges = edges.union(_similar(rest, sets, base, text, words))
+        rest = others.alias("a").join(placed.alias("b"), F.expr("a.token = b.token and a.component <> b.component and (b.component = a.largest or a.sid < b.sid)"))
+        # a pair that meets in a short list too has been checked, so c is all that others can share
+        edges = edges.union(_similar(_tallied(rest).where("c >= need").select("a", "b"), sets, base, text, words))
     joined = connected_components(edges).withColumnRenamed("id", "sid")
     reach = sets.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = reach.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))
