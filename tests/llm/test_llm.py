@@ -177,6 +177,46 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.line_matches(empty).count() == 0
 
 
+def brute_lines(rows):
+    """doc_id: (lines with words, removed line numbers), by comparing every line with every earlier one."""
+    at = sorted(((d is not None, d or 0, k, frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w)) for d, t in rows for k, line in enumerate((t or "").split("\n"))), key=lambda x: x[:3])
+    at, out = [x for x in at if x[3]], {d: (0, []) for d, _ in rows}
+    for i, (known, d, k, words) in enumerate(at):
+        n, gone = out[d if known else None]
+        dup = any(len(words & x[3]) * 5 >= len(words | x[3]) * 4 for x in at[:i])
+        out[d if known else None] = (n + 1, [*gone, k] if dup else gone)
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 15, 4])
+def test_line_dedup_is_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(line_dedup, "CELLS", cells)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Ä", "ä", "É", "the"]
+    weights = 1 / np.arange(1, len(vocabulary) + 1)
+    lines = []
+    for _ in range(220):
+        line = [str(x) for x in rng.choice(vocabulary, size=int(rng.choice([1, 2, 3, 4, 5, 6, 9, 12, 20, 40, 90])), p=weights / weights.sum())]
+        lines.append(line)
+        for _ in range(int(rng.integers(0, 4))):
+            copy = list(line)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 1 + len(copy) // 6))):
+                copy[at] = str(rng.choice(vocabulary))
+            lines.append([str(x) for x in rng.permutation(copy)])
+    lines += [[*["k" + str(i) for i in range(20)], f"x{j}", f"y{j}"] for j in range(60)]
+    texts = [rng.choice([" ", "  ", "\t", " \r"]).join(x) for x in lines]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    assert len(texts) > 500
+    rows, k = [], 0
+    while k < len(texts):
+        n = int(rng.integers(1, 9))
+        rows.append((len(rows) * 7 - 40, "\n".join([*texts[k : k + n], ""])))
+        k += n
+    rows += [(None, texts[3] + "\n\n" + texts[4]), (99999, None), (99998, " \t\n")]
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "</s>[INST] <|im_end|>\n\\x"), (1, 1, "assistant", "<<SYS>>é\\"), (1, 2, "a\nb", None), (1, 3, "assistant", "<"), (2, None, None, "x"), (2, 0, "assistant", "y"), (None, 5, "user", ""), (1, 3, "assistant", "<")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, tree string")
