@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import connected_components, small_batches, written
+from .util import connected_components, written
 
 #: Vectors of a cell, or of those that reach it, that one task holds of either.
 BLOCK = 8192
@@ -101,7 +101,6 @@ def vector_links(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_
     forest. Pivots are a sample by hash, MOST_PIVOTS at most for a dimension; radii and counts are one row per cell.
     """
     spark = embeddings.sparkSession
-    small_batches(spark, 4096)
     v = F.col(f"`{vec_col}`").cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(math.inf), F.lit(False)) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(sound, v).alias("v"))
@@ -133,7 +132,7 @@ def vector_links(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_
                 near = angle.argmin(axis=1)
                 yield pd.DataFrame({"uid": part["uid"].to_numpy(), "n": part["n"].to_numpy(), "dim": dim, "vec": packed, "cell": near + base[dim], "angle": angle[np.arange(len(near)), near]})
 
-    cells, _ = written(unlike.select("uid", "n", "v").mapInPandas(assign, CELLS), "cells")
+    cells, _ = written(unlike.select("uid", "n", "v").mapInPandas(assign, CELLS), "cells", 4096)
     radius = {r["cell"]: (r["r"], r["n"]) for r in cells.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}
     reach = math.acos(least) + 1e-6
 
@@ -183,7 +182,7 @@ def vector_links(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_
         counted = pd.DataFrame({"uid": own["uid"].to_numpy(), "links": links})[links > 0]
         return pd.concat([counted, pd.DataFrame(edges, columns=["uid", "peer"])])[["uid", "links", "peer"]].astype("Int64")
 
-    found, _ = written(cells.select("uid", "n", "dim", "vec", "cell").mapInPandas(deal, "cell int, i int, j int, rep boolean, uid long, n long, vec binary").groupBy("cell", "i", "j").applyInPandas(match, "uid long, links long, peer long"), "links")
+    found, _ = written(cells.select("uid", "n", "dim", "vec", "cell").mapInPandas(deal, "cell int, i int, j int, rep boolean, uid long, n long, vec binary").groupBy("cell", "i", "j").applyInPandas(match, "uid long, links long, peer long"), "links", 4096)
     linked = connected_components(found.where("peer is not null").select(F.col("uid").alias("src"), F.col("peer").alias("dst")))
     ids = unlike.select("uid", "least_id")
     groups = linked.join(ids, linked.id == ids.uid).groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import small_batches
 
 #: Hashed n-gram features, and the lengths of n-grams.
 FEATURES, ORDERS = 1 << 15, (1, 2, 3)
@@ -140,7 +139,6 @@ def fit(docs: DataFrame, features: int = FEATURES, per_language: int = SAMPLE_PE
     import numpy as np
 
     spark = docs.sparkSession
-    small_batches(spark)
     known = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null").where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0)) != 1)
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
     if not sizes:

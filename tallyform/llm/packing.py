@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import class_ranks, salts
-from .util import small_batches, written
+from .util import written
 
 #: Entries of each of the two generations of a worker's table of encoded words.
 MEMO = 300_000
@@ -130,7 +130,6 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, most: int = 1024, end_id:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("loc_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, PIECES)
 

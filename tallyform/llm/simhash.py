@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import connected_components, located, small_batches, written
+from .util import connected_components, located, written
 
 #: Differing bits of a link, and so the positional bytes (of 8) that a linked pair shares at least.
 MOST_BITS = 2
@@ -102,7 +102,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _groups(base: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    small_batches(base.sparkSession)
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     rows, _ = written(base.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), fingerprint_udf(words)(text).alias("fp"), "loc_file", "loc_row"), "fingerprints")
     prints, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
@@ -218,9 +217,9 @@ def _similar(candidates: DataFrame, sets: DataFrame, base: DataFrame, text, word
     """(src, dst): candidates (a, b) whose whole sets of shingles have a Jaccard similarity of NUM / DEN or more."""
     candidates, _ = written(candidates.where("a <> b").distinct(), "candidates")
     need = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "loc_file", "loc_row"), "sid")
-    whole, _ = written(base.select(text.alias("text"), "loc_file", "loc_row").join(need, ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles")
+    whole, _ = written(base.select(text.alias("text"), "loc_file", "loc_row").join(need, ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles", 64)
     of = lambda side: whole.select(F.col("sid").alias(side), F.col("s").alias(f"s_{side}"))
-    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")[0]
+    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar", 64)[0]
 
 
 def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_WORDS) -> DataFrame:
@@ -234,12 +233,11 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
     give its square. A long list of unlike sets still does. The lists that a pair shares are counted; what they and the
     postings leave room for is checked. Each proposed pair is checked on its whole sets.
     """
-    small_batches(base.sparkSession, 64)
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     common, ranks = _common_shingles(base.select(text.alias("text")), words)
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row")
     made = base.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "loc_file", "loc_row", _sets_udf(words, common, ranks)(text).alias("s"))
-    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.prefix"), "rows")
+    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.prefix"), "rows", 64)
     firsts = rows.groupBy("digest").agg(F.min(key).alias("first"))
     sets, _ = written(firsts.select("digest", "first", F.col("first.loc_file").alias("loc_file"), F.col("first.loc_row").alias("loc_row"), F.monotonically_increasing_id().alias("sid")), "sets")
     held = rows.select("loc_file", "loc_row", "fp", "n", "prefix").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"])

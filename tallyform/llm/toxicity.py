@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import small_batches
 
 #: Labelled rows of each class that the lexicon is learned from, by hash of the id; all where there are fewer.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
@@ -204,7 +203,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     out; without both labels nothing is learned and every score is low.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)").where(F.crc32(F.col("label_id").cast("string")) % 5 != 0)
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("label_id"), F.col("label_id")]

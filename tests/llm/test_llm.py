@@ -175,6 +175,8 @@ def test_line_dedup(spark, odd, empty):
     assert clean[0] == rows[0][1] and clean[2] == "\nq" and clean[3] is None
     assert line_dedup.line_matches(odd).where("doc_id = 7").first()["n_lines"] == 1
     assert line_dedup.line_matches(empty).count() == 0
+    twice = [(1, "p q r s t"), (1, "u v w x y\na b c d e"), (2, "t s r q p\nu v w x y"), (2, "t s r q p\nu v w x y")]
+    assert {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.line_matches(spark.createDataFrame(twice, "doc_id long, text string")).collect()} == {1: (3, []), 2: (4, [0, 1])}
 
 
 def brute_lines(rows):
@@ -213,6 +215,7 @@ def test_line_dedup_is_brute_force(spark, monkeypatch, cells):
         rows.append((len(rows) * 7 - 40, "\n".join([*texts[k : k + n], ""])))
         k += n
     rows += [(None, texts[3] + "\n\n" + texts[4]), (99999, None), (99998, " \t\n")]
+    monkeypatch.setattr(line_dedup, "FEW", 10 if cells == 4 else 500_000)
     got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == brute_lines(rows)
 
