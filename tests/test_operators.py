@@ -155,6 +155,21 @@ def test_numbers(spark):
     assert files == {i: 28 + i // 4 for i in range(40)}
 
 
+@pytest.mark.parametrize("parts", [4, 64])
+def test_sequence_numbers_three_million_rows(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.range(3_000_000, numPartitions=4).select(F.pmod(F.col("id") * 7919 + 13, F.lit(3_000_000)).alias("o"), F.concat(F.lit("f"), "id").alias("fingerprint"), F.lit("kept").alias("more"))
+        wrong = ledger.sequence(rows, ["o"]).where("k <> o + 1 or more <> 'kept'")
+        assert wrong.count() == 0
+        assert ledger.file_numbers(rows, ["o"]).where("file_no <> 28 + floor(o / 4) or more is null").count() == 0
+        forms = ledger.form_numbers(rows, ["o"]).join(rows, "fingerprint")
+        assert forms.where("form_no = o + 110").count() == 3_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_ledger(spark):
     images = spark.createDataFrame([("a", "p"), ("a", "q"), ("b", "r")], "sha256 string, path string")
     assert [r["sha256"] for r in ledger.unseen(images, spark.createDataFrame([("b",)], "sha256 string")).collect()] == ["a"]
