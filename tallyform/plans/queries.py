@@ -163,12 +163,11 @@ def contact_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", C.contact_digits(F.expr(_CONTACT)).alias("contact"))
 
 
-@query()
+@query("SELECT o_orderkey, 'Nokia 7210' AS model, lpad(o_orderkey::VARCHAR, 6, '4') || ' - ' || lpad((o_custkey * 7)::VARCHAR, 9, '3') AS imei1, '%@7$2 - #1-4!' AS imei2 FROM orders")
 def imei_split(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array(F.lit("Nokia"), F.lit("7210"), F.lpad(F.col("o_orderkey").cast("string"), 6, "4"), F.lit("-"), F.lpad((F.col("o_custkey") * 7).cast("string"), 9, "3"), F.lit("*@S!S"), F.lit("-"), F.lit("#!-52"))
-    tokens = F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(9).alias("width"), F.lit(9).alias("height"), F.lit(90.0).alias("confidence")))
-    got = extraction.extract_fields(table(spark, sf, "orders").select("o_orderkey", tokens.alias("tokens")), ("o_orderkey",))
-    return got.select("o_orderkey", F.col("fields")["Mobile Model"]["value"].alias("model"), F.col("fields")["IMEI 1"]["value"].alias("imei1"), F.col("fields")["IMEI 2"]["value"].alias("imei2"))
+    words = F.array(F.lit("Nokia"), F.lit("7210"), F.lpad(F.col("o_orderkey").cast("string"), 6, "4"), F.lit("-"), F.lpad((F.col("o_custkey") * 7).cast("string"), 9, "3"), F.lit("%@7$2"), F.lit("-"), F.lit("#1-4!"))
+    got = extraction.extract_columns(table(spark, sf, "orders").select("o_orderkey", _laid_out(F.array_join(words, " ")).alias("tokens")), ("o_orderkey",))
+    return got.select("o_orderkey", F.col("`Mobile Model`")["value"].alias("model"), F.col("`IMEI 1`")["value"].alias("imei1"), F.col("`IMEI 2`")["value"].alias("imei2"))
 
 
 # rules
@@ -181,7 +180,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     value = {
         "Email": F.when(k % 3 == 0, "a@b").otherwise(F.concat(F.lit("u"), k, F.lit("@mail.org"))), "DOB": F.lit("01/02/1990"), "Issue Date": F.when(k % 5 == 0, "31/02/2020").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")),
         "Gender": F.when(k % 4 == 0, "male").otherwise("Male"), "Contact": F.when(k % 7 == 0, "12a").otherwise("580"), "Initial": F.when(k % 2 == 0, "M1").otherwise("MAB"),
-        "Installments": F.when(k % 6 == 0, "INVALID").otherwise("34.49"), "Amount in Words": F.when(k % 6 == 1, "").otherwise("Thirty"), "IMEI 1": F.when(k % 9 == 0, "1234").otherwise("490154203237518"), "Mobile Model": F.when(k % 10 == 0, "1234 x").otherwise("Nokia"),
+        "Installments": F.when(k % 6 == 0, "INVALID").otherwise("34.49"), "Amount in Words": F.when(k % 6 == 1, "").otherwise("Thirty"), "IMEI 1": F.when(k % 9 == 0, "1234").otherwise("351806012233445"), "Mobile Model": F.when(k % 10 == 0, "1234 x").otherwise("Nokia"),
     }
     field = lambda v: F.struct(v.alias("value"), F.when(k % 8 == 0, 42.5).otherwise(90.0).alias("confidence"), (k % 16 == 0).alias("needs_review"))
     entries = [x for name, v in value.items() for x in (F.lit(name), field(v))]
@@ -342,7 +341,7 @@ def spatial_next_label(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def field_regions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    words = F.when(k % 3 == 0, F.array(F.lit("IMEI"), F.lit("1:"), F.lit("490154203237518"), F.lit("Post"), F.lit("code"), F.lit("BS1"))).when(k % 3 == 1, F.array(F.lit("City"), F.lit("Country"))).otherwise(F.array(F.lit("Leeds"), F.lit("England")))
+    words = F.when(k % 3 == 0, F.array(F.lit("IMEI"), F.lit("1:"), F.lit("351806012233445"), F.lit("Post"), F.lit("code"), F.lit("BS1"))).when(k % 3 == 1, F.array(F.lit("City"), F.lit("Country"))).otherwise(F.array(F.lit("Leeds"), F.lit("England")))
     boxed = F.transform(words, lambda w, i: F.struct(w.alias("text"), (i * 80).alias("x"), F.lit(0).alias("y"), F.lit(60).alias("width"), F.lit(20).alias("height"), F.lit(90.0).alias("confidence")))
     rows = table(spark, sf, "orders").select(F.floor(k / 3).alias("image_id"), F.lit("A").alias("variant"), F.lit(1).alias("record_number"), (k % 3).cast("int").alias("row_seq"), boxed.alias("words"))
     found = localization.field_regions(rows)
@@ -434,12 +433,37 @@ def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", hits.alias("provider"))
 
 
-_WORDS = ("Ms. Jane Doe Doejane@mail.org Phy.D Roe 1" + "7/03/1991 Female Service OakRoad Leeds, North Yorkshire S16 8AG England Vodafone Tango - ")
+# Invented records, in three shapes: k % 3 picks the shape, k the numbers in it.
+_SHAPES = (
+    "Mrs. Tessa Quill tquill@post.example.org Dr. Quill 05/11/1979 Female Student Elm Lane Ripon HG41AB England Orange Kilo - {ref} ORN77X9 AbC1234567dEf CDMA Nokia 3310 356938 - 03 - 564380 - 9 Classic Visa £{sum} 12/03/2019 12/03/2021",
+    "Rev AdaLark 23-O4-1966 ma1e Self Employed 4 Mill Row, Thirsk YO71AB Wales 02 {ref} TM-44 zz99887766x GSM T610 490154 -2 %1#4 SMS+ {sum} 01/02/2020 01/02/2023",
+    "Capt Bo Finch bo@finch.example.net 30/06/1988 {ref} Foxtrot",
+)
 
 
-@query()
+def _texts(k: F.Column) -> F.Column:
+    ref, total = F.lpad(k.cast("string"), 7, "4"), (k % 900 + 99).cast("string")
+    filled = [F.replace(F.replace(F.lit(s), F.lit("{ref}"), ref), F.lit("{sum}"), total) for s in _SHAPES]
+    return F.get(F.array(*filled), (k % 3).cast("int"))
+
+
+def _laid_out(text: F.Column) -> F.Column:
+    return F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("text"), (i * 50).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"), F.lit(90.0).alias("confidence")))
+
+
+def _expected_sql() -> str:
+    """The fields of _SHAPES as they must be read; {ref} and {sum} stand for the key's numbers."""
+    shapes = (
+        {"Title": "Mrs", "First Name": "Tessa", "Last Name": "Quill", "Email": "tquill@post.example.org", "Father Name": "Quill", "DOB": "05/11/1979", "Gender": "Female", "Profession": "Student", "Mailing Street": "Elm Lane", "City": "Ripon", "Postal Code": "HG4 1AB", "Country": "England", "Service Provider": "Orange", "File Ref": "Kilo - {ref}", "Reference No": "ORN77X9", "SIM No": "AbC1234567dEf", "Network Type": "CDMA", "Mobile Model": "Nokia 3310", "IMEI 1": "356938 - 03 - 564380 - 9", "Plan Type": "Classic", "Card Type": "Visa", "Contact": "{sum}", "Issue Date": "12/03/2019", "Renewal Date": "12/03/2021"},
+        {"Title": "Rev", "First Name": "Ada", "Last Name": "Lark", "DOB": "23/04/1966", "Gender": "Male", "Profession": "Self Employed", "Mailing Street": "4 Mill Row", "City": "Thirsk", "Postal Code": "YO7 1AB", "Country": "Wales", "Service Provider": "O2", "File Ref": "{ref}", "Reference No": "TM-44", "SIM No": "zz99887766x", "Network Type": "GSM", "Mobile Model": "T610", "IMEI 1": "490154 -2", "IMEI 2": "%1#4", "Plan Type": "SMS", "Contact": "{sum}", "Issue Date": "01/02/2020", "Renewal Date": "01/02/2023"},
+        {"Title": "Capt", "First Name": "Bo", "Last Name": "Finch", "Email": "bo@finch.example.net", "DOB": "30/06/1988", "Mailing Street": "{ref} Foxtrot", "File Ref": "{ref}"},
+    )
+    said = lambda v: f"replace(replace('{v}', '{{ref}}', lpad(o_orderkey::VARCHAR, 7, '4')), '{{sum}}', (o_orderkey % 900 + 99)::VARCHAR)"
+    each = [f"CASE o_orderkey % 3 WHEN 0 THEN {said(shapes[0].get(n, ''))} WHEN 1 THEN {said(shapes[1].get(n, ''))} ELSE {said(shapes[2].get(n, ''))} END AS {n.lower().replace(' ', '_')}" for n in fixed.FIELDS if n != "Remarks"]
+    return f"SELECT o_orderkey, {', '.join(each)}, 'Not Applicable' AS remarks FROM orders"
+
+
+@query(_expected_sql())
 def extract31(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit(_WORDS), F.lpad(F.col("o_orderkey").cast("string"), 7, "4"), F.lit(" VfoneB4YT JiVawB150239190I089 GSM Siemens MC60 473871 - 33 - 751054 -6 *@S!S - #!-521315-9 TurboCall MasterCardGold €"), (F.col("o_orderkey") % 900 + 99).cast("string"), F.lit(" 06/07/2020 06/01/2022"))
-    tokens = F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("text"), (i * 50).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("width"), F.lit(20).alias("height"), F.lit(90.0).alias("confidence")))
-    got = extraction.extract_fields(table(spark, sf, "orders").select("o_orderkey", tokens.alias("tokens")), ("o_orderkey",))
-    return got.select("o_orderkey", *[F.col("fields")[n]["value"].alias(n.lower().replace(" ", "_")) for n in fixed.FIELDS])
+    got = extraction.extract_columns(table(spark, sf, "orders").select("o_orderkey", _laid_out(_texts(F.col("o_orderkey"))).alias("tokens")), ("o_orderkey",))
+    return got.select("o_orderkey", *[F.col(f"`{n}`")["value"].alias(n.lower().replace(" ", "_")) for n in fixed.FIELDS])

@@ -6,10 +6,11 @@ from tallyform.operators import consensus, extraction, layout, ledger, localizat
 from tallyform.plans import record_plan
 from tallyform.schemas import OCR_TOKENS, TOKEN
 
+#: An invented record over three rows.
 LINES = (
-    "Ms. Jane Doe jane@mail.org Phy.D Roe 17/03/1991 Female Service OakRoad Leeds, North Yorkshire S16 8AG",
-    "England Vodafone Tango - 4616541 VfoneB4YT!@##&T3 JiVawB150239190I089 GSM Siemens MC60 473871 - 33 - 751054 -6",
-    "*@S!S - #!-521315-9 TurboCall MasterCardPremiumGold €580 06/07/2020 06/01/2022",
+    "Miss Nora Vale nora@vale.example.org Prof. Vale 09/10/1984 Female Business MillLane Selby, East Riding YO8 4EH",
+    "Scotland Virgin Sierra - 5550123 Virg77QX!@##&L9 KoLm778899001A2 CDMA Samsung E250 351806 - 01 - 223344 -5",
+    "%@R$T - #!-998877-1 Ultra VisaGold €640 14/02/2019 14/08/2021",
 )
 
 
@@ -26,39 +27,40 @@ def page(lines, image="i", variant="A"):
     return rows
 
 
-def read(spark, words, start=0):
-    df = spark.createDataFrame([(1, [token(w, i * 50) for i, w in enumerate(words)])], f"k int, tokens array<{TOKEN.simpleString()}>")
-    return {n: f["value"] for n, f in extraction.extract_fields(df, ("k",)).first()["fields"].items()}
-
-
 def test_full_record(spark):
     made = record_plan.structured(spark.createDataFrame(page(LINES), OCR_TOKENS)).collect()
     assert len(made) == 1
     got = {n: f["value"] for n, f in made[0]["fields"].items()}
     want = {
-        "File No": "28", "Form No": "110", "Title": "Ms", "First Name": "Jane", "Last Name": "Doe", "Email": "jane@mail.org", "Father Name": "Roe", "DOB": "17/03/1991",
-        "Gender": "Female", "Profession": "Service", "Mailing Street": "OakRoad", "City": "Leeds, North Yorkshire", "Postal Code": "S16 8AG", "Country": "England",
-        "Service Provider": "Vodafone", "File Ref": "Tango - 4616541", "Reference No": "VfoneB4YT!@##&T3", "SIM No": "JiVawB150239190I089", "Network Type": "GSM",
-        "Mobile Model": "Siemens MC60", "IMEI 1": "473871 - 33 - 751054 -6", "IMEI 2": "*@S!S - #!-521315-9", "Plan Type": "TurboCall", "Card Type": "MasterCardPremiumGold",
-        "Contact": "580", "Issue Date": "06/07/2020", "Renewal Date": "06/01/2022", "Initial": "MJD", "Installments": "34.49", "Amount in Words": "Thirty Four Point Four Nine", "Remarks": "Not Applicable",
+        "File No": "28", "Form No": "110", "Title": "Miss", "First Name": "Nora", "Last Name": "Vale", "Email": "nora@vale.example.org", "Father Name": "Vale", "DOB": "09/10/1984",
+        "Gender": "Female", "Profession": "Business", "Mailing Street": "MillLane", "City": "Selby, East Riding", "Postal Code": "YO8 4EH", "Country": "Scotland",
+        "Service Provider": "Virgin", "File Ref": "Sierra - 5550123", "Reference No": "Virg77QX!@##&L9", "SIM No": "KoLm778899001A2", "Network Type": "CDMA",
+        "Mobile Model": "Samsung E250", "IMEI 1": "351806 - 01 - 223344 -5", "IMEI 2": "%@R$T - #!-998877-1", "Plan Type": "Ultra", "Card Type": "VisaGold",
+        "Contact": "640", "Issue Date": "14/02/2019", "Renewal Date": "14/08/2021", "Initial": "MNV", "Installments": "36.99", "Amount in Words": "Thirty Six Point Nine Nine", "Remarks": "Not Applicable",
     }
     assert got == want and len(got) == 31
     assert made[0]["MY"] == 24 and made[0]["issues"] == [] and made[0]["status"] == "VALIDATED"
 
 
 def test_models_and_device_numbers(spark):
-    of = lambda *words: extraction.Reading([{"text": w} for w in words])
-    assert of("Nokia", "7210", "490154203237518").model(0) == ("Nokia 7210", [0, 1], 2)
-    bare = of("T722", "943826", "-", "52", "-", "988142", "-", "5")
-    assert bare.model(0) == ("T722", [0], 1) and bare.imeis(0, 8)[0] == "943826 - 52 - 988142 - 5"
-    assert of("473871", "-", "33", "-", "751054", "-6", "*@S!S", "-", "#!-521315-9").imeis(0, 9)[2] == "*@S!S - #!-521315-9"
-    assert of("111111", "222222", "333333", "444444").imeis(0, 4)[0] == "111111 222222"
-    assert read(spark, []) | {"Remarks": ""} == dict.fromkeys(fixed.FIELDS, "")
-
-
-def test_two_dates_make_birth_and_issue_equal(spark):
-    got = read(spark, ["Mr", "A", "B", "01/02/2000", "03/04/2010"])
-    assert (got["DOB"], got["Issue Date"], got["Renewal Date"]) == ("01/02/2000", "01/02/2000", "03/04/2010")
+    records = {
+        "none": [], "nulls": [None, ""], "brand": "GSM Nokia 6230 351806012233445".split(), "bare": "GSM K750 998 - 41 - 223344 - 5".split(), "masked": "GSM LG 351806 - 01 - 223344 -5 %@R$T - #!-998877-1".split(),
+        "halves": "GSM LG 111111 222222 333333 444444".split(), "dates": ["Mr", "A", "B", "01/02/2000", "03/04/2010"], "glued": ["Dr", "IvyMoss", "o7/O3/1971"], "mail": ["Mr", "Ola", "ola_berg@mail.example.org", "01/02/2000"],
+    }
+    rows = [(k, [token(w, i * 50) for i, w in enumerate(words)]) for k, words in records.items()] + [("null", None)]
+    df = spark.createDataFrame(rows, f"k string, tokens array<{TOKEN.simpleString()}>")
+    got = {r["k"]: {n: f["value"] for n, f in r["fields"].items()} for r in extraction.extract_fields(df, ("k",)).collect()}
+    some = lambda k, *names: tuple(got[k][n] for n in names)
+    device = ("Mobile Model", "IMEI 1", "IMEI 2")
+    assert got["none"] == got["null"] == dict.fromkeys(fixed.FIELDS, "") | {"Remarks": "Not Applicable"}
+    assert got["nulls"] == got["none"] | {"Title": "Mr"}
+    assert some("brand", *device) == ("Nokia 6230", "351806012233445", "")
+    assert some("bare", *device) == ("K750", "998 - 41 - 223344 - 5", "")
+    assert some("masked", *device) == ("LG", "351806 - 01 - 223344 -5", "%@R$T - #!-998877-1")
+    assert some("halves", *device) == ("LG", "111111 222222", "333333 444444")
+    assert some("dates", "DOB", "Issue Date", "Renewal Date") == ("01/02/2000", "01/02/2000", "03/04/2010")
+    assert some("glued", "First Name", "Last Name", "DOB") == ("Ivy", "Moss", "07/03/1971")
+    assert some("mail", "First Name", "Last Name", "Email") == ("Ola", "ola", "berg@mail.example.org")
 
 
 def test_rows_follow_the_moving_centre(spark):
@@ -94,21 +96,21 @@ def test_vote(spark):
 
 
 def test_decisions(spark):
-    rows = [(1, "IMEI 1", "490154203237518", 90.0, 1), (2, "IMEI 1", "12", 90.0, 1), (3, "Postal Code", "BSI 4TX", 60.0, 1), (4, "City", "", 0.0, 1), (5, "Contact", "a 580", 10.0, 1), (5, "Contact", "580", 10.0, 2)]
+    rows = [(1, "IMEI 1", "351806012233445", 90.0, 1), (2, "IMEI 1", "12", 90.0, 1), (3, "Postal Code", "BSI 4TX", 60.0, 1), (4, "City", "", 0.0, 1), (5, "Contact", "a 580", 10.0, 1), (5, "Contact", "580", 10.0, 2)]
     df = spark.createDataFrame(rows, "k int, field string, raw_text string, confidence double, run_seq int")
     got = {r["k"]: (r["decision"], r["value"]) for r in consensus.decide(df, ["k"]).collect()}
-    assert got == {1: ("ACCEPTED_STRICT_IMEI", "490154203237518"), 2: ("NO_SAFE_CORRECTION", None), 3: ("ACCEPTED_POSTCODE", "BS1 4TX"), 4: ("NO_OCR_OUTPUT", None), 5: ("ACCEPTED_CONSENSUS", "580")}
+    assert got == {1: ("ACCEPTED_STRICT_IMEI", "351806012233445"), 2: ("NO_SAFE_CORRECTION", None), 3: ("ACCEPTED_POSTCODE", "BS1 4TX"), 4: ("NO_OCR_OUTPUT", None), 5: ("ACCEPTED_CONSENSUS", "580")}
 
 
 GOOD = {n: "x" for n in fixed.REQUIRED} | {
     "Email": "a@b.org", "DOB": "01/01/1990", "Gender": "Male", "Postal Code": "S16 8AG", "Contact": "580", "Issue Date": "06/07/2020", "Renewal Date": "06/01/2022",
-    "Installments": "34.49", "Initial": "MJD", "IMEI 1": "490154203237518", "Mobile Model": "Nokia",
+    "Installments": "34.49", "Initial": "MJD", "IMEI 1": "351806012233445", "Mobile Model": "Nokia",
 }
 
 
 @pytest.mark.parametrize(("change", "my", "reasons"), [
     ({}, 24, []), ({"Email": "a@b"}, 24, ["INVALID_EMAIL"]), ({"DOB": "06/07/2020"}, 24, ["DOB_AFTER_ISSUE_DATE"]), ({"Renewal Date": "05/07/2020"}, 24, ["RENEWAL_BEFORE_ISSUE_DATE"]),
-    ({"Postal Code": "BSI 4TX"}, 24, ["INVALID_POSTAL_CODE"]), ({"Mobile Model": "490154203237518 x"}, 24, ["MOBILE_MODEL_IMEI_CONFLICT"]), ({"IMEI 1": "1234"}, 24, ["INVALID_IMEI1", "AMBIGUOUS_IMEI1"]),
+    ({"Postal Code": "BSI 4TX"}, 24, ["INVALID_POSTAL_CODE"]), ({"Mobile Model": "351806012233445 x"}, 24, ["MOBILE_MODEL_IMEI_CONFLICT"]), ({"IMEI 1": "1234"}, 24, ["INVALID_IMEI1", "AMBIGUOUS_IMEI1"]),
     ({"IMEI 1": "123456789012345678"}, 24, ["INVALID_IMEI1"]), ({"Initial": "M1"}, 24, ["INVALID_INITIAL"]), ({"Amount in Words": ""}, 0, ["CALCULATION_MISMATCH"]),
     ({"Installments": "INVALID", "Amount in Words": ""}, 0, []), ({"City": None}, 24, ["MISSING_REQUIRED_FIELD"]), ({"Amount in Words": ""}, 24, ["MISSING_REQUIRED_FIELD", "EMPTY_AMOUNT_WORDS"]),
 ])
@@ -133,10 +135,10 @@ def regions(spark, *lines):
 
 
 def test_regions(spark):
-    got = regions(spark, ["IMEI", "1", "490154203237518"])
+    got = regions(spark, ["IMEI", "1", "351806012233445"])
     assert list(got) == ["IMEI 1"] and got["IMEI 1"]["value_box"]["x"] == 160 and got["IMEI 1"]["anchor"] == "IMEI 1"
-    assert regions(spark, ["490154203237518"]) == {}
-    assert "IMEI 1" in regions(spark, ["1MEI", "1:", "490154203237518"])
+    assert regions(spark, ["351806012233445"]) == {}
+    assert "IMEI 1" in regions(spark, ["1MEI", "1:", "351806012233445"])
     two = regions(spark, ["IMEI", "1:", "11", "IMEI", "2:", "22"])
     assert two["IMEI 1"]["value_box"]["x"] + two["IMEI 1"]["value_box"]["width"] <= 240 and two["IMEI 2"]["value_box"]["x"] == 400
     below = regions(spark, ["City"], ["Leeds"])
