@@ -35,37 +35,50 @@ def linear_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth): the nodes of each tree's ``branches`` best root-to-leaf paths.
 
-    nodes: tree, node, parent, score; a tree's nodes are unique and a parent precedes its replies (parent < node), or
-    the node is a root. Each self-join doubles the distance to the ancestor that a node knows, with the score on the
-    way, and a node that has reached its root takes no part any more; the same tables, taken downwards, enumerate the chosen leaves' paths. Joins are on single nodes, so a large
-    tree is spread; each round is a table in the shared folder. Leaves rank by total score, then depth, then node.
+    nodes: tree, node, parent, score; a tree's nodes are unique, in any order of ids. A node whose parent is null, itself
+    or not in the tree is a root; where parents run in a circle, the circle's smallest node becomes a root. Each self-join
+    doubles the distance to the ancestor that a node knows, with the score on the way, and a node that has reached its
+    root takes no part any more; the same tables, taken downwards, enumerate the chosen leaves' paths. Joins are on
+    single nodes, so a large tree is spread; each round is a table in the shared folder. Leaves rank by total score,
+    then depth, then node.
     """
-    bare = nodes.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    spark, same = nodes.sparkSession, F.col("tree").eqNullSafe(F.col("t2"))
+    bare = nodes.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
     known = bare.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
-    firm = bare.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
-    now, path = written(firm.select("tree", "node", F.col("n2").alias("anc"), F.when(F.col("n2").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score"), "reach")
+    firm = bare.join(known, same & (F.col("parent") == F.col("n2")), "left")
+    now, path = written(firm.select("tree", "node", F.col("n2").alias("anc"), F.when(F.col("n2").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score", F.least("node", "n2").alias("low")), "reach")
     done, open_, jumps, paths = now.where("anc is null"), now.where("anc is not null"), [], [path]
+    largest = None
     while open_.limit(1).count():
+        if largest is None:
+            largest = now.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if 1 << len(jumps) >= 2 * largest:
+            # no chain is longer than its tree: who is open still is in a circle or below one, and has seen all of it
+            circle = open_.select(F.col("tree").alias("t2"), F.col("anc").alias("n2")).distinct()
+            cut, _ = written(open_.join(circle, same & (F.col("node") == F.col("n2")), "left_semi").where("node = low").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.lit(1).alias("cut")), "cut")
+            remove(spark, *paths)
+            mended = bare.join(cut, same & (F.col("node") == F.col("n2")), "left").select("tree", "node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), "score")
+            return best_paths(mended, branches)
         jumps.append(open_.select("tree", "node", "anc"))
-        up = open_.union(done).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        step = open_.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("anc") == F.col("n2")))
-        now, path = written(step.select("tree", "node", F.col("a2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "reach")
+        up = open_.union(done).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("depth").alias("d2"), F.col("score").alias("s2"), F.col("low").alias("l2"))
+        step = open_.join(up, same & (F.col("anc") == F.col("n2")))
+        now, path = written(step.select("tree", "node", F.col("a2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"), F.least("low", "l2").alias("low")), "reach")
         done, open_ = done.union(now.where("anc is null")), now.where("anc is not null")
         paths.append(path)
     leaves = done
     if jumps:
         inner = jumps[0].select(F.col("tree").alias("t2"), F.col("anc").alias("p2"))
-        leaves = done.join(inner, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("p2")), "left_anti")
+        leaves = done.join(inner, same & (F.col("node") == F.col("p2")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node"))
     chosen, path = written(leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"), "paths")
     distance = 1
     for jump in jumps:
         on = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "anc")
-        more = chosen.join(on, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("depth") - distance).alias("depth"))
+        more = chosen.join(on, same & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("depth") - distance).alias("depth"))
         grown, to = written(chosen.union(more), "paths")
-        remove(nodes.sparkSession, path)
+        remove(spark, path)
         chosen, path, distance = grown, to, 2 * distance
-    remove(nodes.sparkSession, *paths)
+    remove(spark, *paths)
     return chosen
 
 
@@ -91,7 +104,7 @@ def format_paths(nodes: DataFrame, branches: int = 1, trained_role: str = TRAINE
 def read_back(conversations: DataFrame) -> DataFrame:
     """tree, turns (array of role, text) and loss_text, from formatted and loss_spans alone."""
     parts = F.transform(F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != ""), lambda p: F.substr(p, F.lit(len(OPEN) + 1)))
-    head = lambda p: F.regexp_extract(p, r"^((?:[^\\\n]|\\[\s\S])*)\n", 1)
+    head = lambda p: F.regexp_extract(p, r"^((?:[^\\\n]++|\\[\s\S])*+)\n", 1)
     turns = F.transform(parts, lambda p: F.struct(unescaped(head(p)).alias("role"), unescaped(F.substr(p, F.length(head(p)) + 2)).alias("text")))
     # as UTF-32 a span is a slice of bytes, so that a long conversation isn't searched once per span; the mark before it is what the decoder drops, not a U+FEFF of the text
     wide = F.encode("formatted", "UTF-32")

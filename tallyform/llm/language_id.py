@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import small_batches
 
 #: Hashed n-gram features, and the lengths of n-grams.
 FEATURES, ORDERS = 1 << 15, (1, 2, 3)
-#: Labelled rows of each language, and languages by size, that the classifier is fitted on at most.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 800, 256
+#: Labelled rows that the classifier is fitted on at most: of each language, and about so many of all (one of each language at least).
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 200_000
 #: Characters that are hashed at once.
 SPAN = 1 << 18
 UNDETERMINED = "und"
@@ -129,21 +130,23 @@ def train(rows: list[tuple[str, object, object]], languages: list[str], idf, epo
 SCALE = 20.0
 
 
-def fit(docs: DataFrame, features: int = FEATURES, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(docs: DataFrame, features: int = FEATURES, per_language: int = SAMPLE_PER_LANGUAGE, most_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from text and non-null lang of rows whose crc32(doc_id) mod 3 isn't 1.
 
     Document frequencies count every such row: each task adds its rows up to one count per feature. The rows fitted on
-    are about ``per_language`` of each of the ``most_languages`` commonest languages, by hash of the id; executors send
-    their feature counts, not their texts. Without rows nothing is learned and everything is undetermined.
+    are about ``per_language`` of each language, fewer where all would be more than about ``most_rows``, by hash of the id;
+    no language is left out. Executors send their feature counts, not their texts. Without rows nothing is learned and everything is undetermined.
     """
     import numpy as np
 
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null").where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0)) != 1)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return Model([])
     n_rows = sum(r["n"] for r in sizes)
+    per_language = max(1, min(per_language, most_rows // len(sizes)))
     share = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "lang string, share double")
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 

@@ -33,15 +33,18 @@ def as_of_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, day) with host, blocked, n_entries and lists (sorted names) active on the day.
 
     Verdicts are made once per (host, path, day). The keys of a capture are its host, every parent domain, and host
-    with path; they join the intervals by key, and the day picks. A null or unreadable URL or a null day is not blocked.
+    with path; they join the intervals by key, and the day picks. Parent domains gather many hosts, so each host is first
+    told which of its keys any list holds, from narrow distinct pairs; days join only those. A null or unreadable URL or a null day is not blocked.
     Every capture gives one row, repeated ones too.
     """
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("day").cast("date").alias("day"))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     held = intervals(entries)
-    deep = held.where("instr(key, '/') > 0").select("key").distinct()
-    by_host = rows.where("host <> '' and day is not null").select("host", "day").distinct().withColumn("key", F.explode(parents))
+    listed = held.select("key").distinct()
+    deep = listed.where("instr(key, '/') > 0")
+    told_hosts = rows.where("host <> ''").select("host").distinct().withColumn("key", F.explode(parents)).join(listed, "key", "left_semi")
+    by_host = rows.where("host <> '' and day is not null").select("host", "day").distinct().join(told_hosts, "host")
     by_path = rows.where("host <> '' and path <> '' and day is not null").select("host", "path", "day").distinct().withColumn("key", F.concat("host", "path")).join(deep, "key", "left_semi")
     active = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     on_host = by_host.join(held, "key").where(active).groupBy("host", "day").agg(F.count("*").alias("n_host"), F.collect_set("list").alias("host_lists"))

@@ -1,80 +1,16 @@
-"""Shared plumbing: shared scratch storage, row locators, connected components."""
+"""Shared plumbing: row locators, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark SQL (Java) pattern of a word: what no ASCII white space breaks.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, a session on one machine gets a folder of its own; a cluster gets an error, since each of its
-    machines would write to its own disk.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tallyform-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
+from ..storage import new_path, remove, scratch_dir, settings, written
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables that no pending plan reads."""
-    sc = spark.sparkContext
-    for path in paths:
-        try:
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  at exit the gateway may be gone
-            return
+__all__ = ["WORD", "connected_components", "located", "new_path", "remove", "scratch_dir", "settings", "small_batches", "written"]
 
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
-    """Session settings that hold within the block (dots as double underscores), and not after it."""
-    keys = {k.replace("__", "."): v for k, v in changed.items()}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
-def written(df: DataFrame, name: str, batch_rows: int = 512) -> tuple[DataFrame, str]:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, and its path.
-
-    The shuffle files of the write go with it, so that an operator of several passes holds one pass's at a time.
-    batch_rows bounds what one Arrow batch of long texts can hold.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(batch_rows)):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+#: Spark SQL (Java) pattern of a word: what no ASCII white space breaks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -90,6 +26,11 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), meta["file_path"].alias("loc_file"), meta["row_index"].alias("loc_row"))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bounds what one Arrow batch of long texts can hold, for a plan that the caller runs later: the session keeps the setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): for each end of an edge (src, dst; longs) the smallest id that it reaches.
 

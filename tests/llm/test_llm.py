@@ -240,6 +240,24 @@ def test_loss_text_keeps_a_leading_mark(spark, text):
     assert got["loss_chars"] == len(text) + 2 and got["loss_sha256"] == hashlib.sha256((text + "x\ufeff").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("role", ["r" * 1_000_000, "a\\\n" * 60_000])
+def test_long_roles_and_texts(spark, role):
+    said = [(1, 0, role, "<|im_end|>\n\\" * 70_000), (1, 1, "assistant", "x" * 1_000_000)]
+    (got,) = chat_format.conversation_digests(spark.createDataFrame(said, "conv_id long, turn int, role string, text string")).collect()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in said).encode()).hexdigest()
+    assert (got["n_turns"], got["loss_chars"]) == (2, 1_000_000)
+
+
+def test_reply_trees_in_any_order_and_circles(spark):
+    nodes = [(10, None), (3, 10), (7, 3), (20, 22), (21, 20), (22, 21), (5, 21), (1, 2), (2, 1)]
+    df = spark.createDataFrame([("t", n, p, 1.0, "user", f"m{n}") for n, p in nodes], "tree string, node long, parent long, score double, role string, text string")
+    paths = {}
+    for r in chat_format.best_paths(df, 9).collect():
+        paths.setdefault(r["leaf"], []).append((r["depth"], r["node"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in paths.items()} == {7: [10, 3, 7], 22: [20, 21, 22], 5: [20, 21, 5], 2: [1, 2]}
+    assert chat_format.format_paths(df, 9).count() == 4
+
+
 def test_reply_trees(spark):
     nodes = [(1, None, 0.0), (2, 1, 5.0), (3, 1, 1.0), (4, 3, 9.0), (5, 2, 1.0), (9, 77, 0.5), (6, 6, 0.0)]
     df = spark.createDataFrame([("t", n, p, s, "user", f"m{n}") for n, p, s in nodes], "tree string, node long, parent long, score double, role string, text string")
