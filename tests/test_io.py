@@ -43,7 +43,7 @@ def test_records_round_trip_and_script(spark, tmp_path):
     made = record_plan.structured(spark.createDataFrame(page(LINES), OCR_TOKENS))
     n = sinks.write_script(made.withColumn("MY", F.col("MY")), str(tmp_path / "script.ahk"))
     text = (tmp_path / "script.ahk").read_text(encoding="utf-8")
-    assert n == 1 and '"Jane"' in text and text.count("records.Push") == 1
+    assert n == 1 and '"Nora"' in text and text.count("records.Push") == 1
     sinks.write_batch(made.select("form_no", "status", F.lit(28).alias("file_no")), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/structured")).first()["form_no"] == 110
     batch = {"image": "i", "file_no": 28, "records": [{"record_number": 1, "form_no": 110, "fields": {"Title": {"value": "Mr"}}}]}
@@ -55,7 +55,7 @@ def test_retry_merges_accepted_readings(spark):
     made = record_plan.structured(spark.createDataFrame(page(LINES), OCR_TOKENS))
     runs = spark.createDataFrame([("i", "A", 1, "IMEI 1", "490154203237518", 88.0, 1), ("i", "A", 1, "City", "", 0.0, 1)], "image_id string, variant string, record_number int, field string, raw_text string, confidence double, run_seq int")
     got = record_plan.retried(made, runs).first()
-    assert got["fields"]["IMEI 1"]["value"] == "490154203237518" and got["fields"]["City"]["value"] == "Leeds, North Yorkshire" and len(got["fields"]) == 31
+    assert got["fields"]["IMEI 1"]["value"] == "490154203237518" and got["fields"]["City"]["value"] == "Selby, East Riding" and len(got["fields"]) == 31
 
 
 def test_every_sql_has_a_query():
