@@ -420,3 +420,92 @@ def test_pipeline_stages_chain(spark, tmp_path):
     assert ids[2] == ids[1]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def pieces(texts):
+    """(length, crc32) of all pieces of each text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    tokenizer.encode_special_tokens = True
+    out = []
+    for t in texts:
+        ids, start = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], 0
+        length, found = len(ids) % 1024 or 1024, []
+        while start < len(ids):
+            found.append((length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())))
+            start, length = start + length, 1024
+        out.append(found)
+    return out
+
+
+def source_targets(sizes):
+    """Weights 5, 2, 1 in the order of sources; a target is 3 times its size at most, and the excess goes to the others."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, fixed = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left, of = sum(sizes.values()) - sum(fixed.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / of > 3 * sizes[s]]
+        if not over:
+            return fixed | {s: left * weight[s] / of for s in free}
+        fixed |= {s: 3 * sizes[s] for s in over}
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """Each stage against its own input, over copies, near copies, nulls, empty and long texts, repeated rows and a clashing column."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 5000, n)]
+    rows = [(i, " ".join(words(60)) + (" vilest" if i % 5 == 0 else ""), "en", ("a", "b", "c", None)[i % 4], 1, "x") for i in range(160)]
+    for i in range(1, 60, 2):
+        copy = rows[i][1].split(" ")
+        for at in rng.integers(0, 60, i % 3):
+            copy[at] = "changed"
+        rows.append((1000 + i if i % 4 == 1 else None, " ".join(copy), "en", "a", 1, "x"))
+    rows += [(20_000 + i, rows[i][1].upper(), None, "b", None, None) for i in range(61, 80)] + rows[81:90]
+    rows += [(30_000, None, None, None, None, None), (30_001, "", "en", "a", 0, "x"), (None, " \n ", None, "b", None, None), (30_002, " ".join(words(3000)), "en", "c", 1, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, loc_file string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, after = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "best_fit_packing" or docs.columns == before.columns
+        after.append([tuple(r) for r in docs.collect()] if name != "best_fit_packing" else docs.collect())
+    clean, unlike, apart, mixed, packed = after
+
+    def same(got, want):
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+    same(clean, [r for r in rows if "vilest" not in low(r[1])])
+    groups = {}
+    for r in clean:
+        groups.setdefault(low(r[1]), []).append(r)
+    same([(r[0], low(r[1])) for r in unlike], [(max((x[0] for x in g if x[0] is not None), default=None), t) for t, g in groups.items()])
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").lower().split()) else set() for r in unlike]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    assert len(similar) > 5
+    root, least = roots(len(unlike), similar), {}
+    for i, r in enumerate(root):
+        least.setdefault(r, []).append((unlike[i][0] is None, unlike[i][0]))
+    same([r[0] for r in apart], [min(g, key=lambda k: (k[0], k[1] or 0))[1] for g in least.values()])
+    size = lambda r: len((r[1] or "").split())
+    sizes = {}
+    for r in apart:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r)
+    for source, target in source_targets(sizes).items():
+        assert abs(sum(size(r) for r in mixed if r[3] == source) - target) <= max(size(r) for r in apart if r[3] == source)
+    assert set(mixed) <= set(apart) and max(mixed.count(r) for r in set(mixed)) <= 3
+    same([(r["doc_id"], r["length"], r["ids_crc32"]) for r in packed], [(m[0], *p) for m, found in zip(mixed, pieces([m[1] for m in mixed]), strict=True) for p in found])
+    seqs = {}
+    for r in packed:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and sum(s[-1]) <= 1024
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
