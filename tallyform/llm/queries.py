@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, simhash, toxicity, url_filter
+from . import chat_format, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, merkle, mixing, packing, quality_rules, simhash, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.as_of_verdicts(captures, spark.sql(url_filter.ENTRIES_SQL)).withColumn("day", F.col("day").cast("string"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(_documents(spark, sf_dir)).drop("copies")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -80,5 +94,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,
     "op10_url_filters": op10_url_filters,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-SQL = {"op3_chat_formatting": chat_format.DIGEST_SQL, "op4_exact_dedup": OP4_SQL, "op9_source_mixing": mixing.MIX_SQL, "op10_url_filters": url_filter.VERDICT_SQL}
+SQL = {"op3_chat_formatting": chat_format.DIGEST_SQL, "op4_exact_dedup": OP4_SQL, "op9_source_mixing": mixing.MIX_SQL, "op10_url_filters": url_filter.VERDICT_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL, "op12_quality_rules": quality_rules.QUALITY_SQL, "op13_merkle_manifest": merkle.MERKLE_SQL}
