@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD, written
+from ..functions.columns import let
+from .util import written
 
 #: Character classes, each taken out of what the ones before left; letters beyond ASCII and the rest follow.
 CLASSES = ("[a-z]+", "[A-Z]+", r"[\x20\x09-\x0D]+", "[0-9]+", r"[.,;:!?'\"()\-]+", r"[\x21-\x7E]+", r"\p{L}+")
@@ -21,25 +22,37 @@ LEAST_LANGUAGE_WORDS = 2_000
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in a window of three that the text holds twice or more.
+    """How many words lie in a window of three that the text holds twice or more; words is an array in a variable.
 
     Hashes tell most texts to have no such window; else windows are sorted by hash and words, so equal ones are
     neighbours, and the places that they cover are counted in one pass.
     """
-    last = F.size(words) - 3
-    starts = F.sequence(F.lit(0), last)
-    window = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
-    hashes = F.transform(starts, lambda i: F.xxhash64(*window(i)))
-    ordered = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*window(i)).alias("h"), *[w.alias(f"w{k}") for k, w in enumerate(window(i))], i.alias("at"))))
-    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
-    places = lambda z: F.sort_array(F.transform(F.filter(z, lambda x, i: same(x, F.get(z, i - 1)) | same(x, F.get(z, i + 1))), lambda x: x["at"]))
+    n = F.size(words) - 2
+    parts = [F.slice(words, k, n) for k in (1, 2, 3)]
+    same = lambda a, b: F.coalesce((a["0"] == b["0"]) & (a["1"] == b["1"]) & (a["2"] == b["2"]) & (a["3"] == b["3"]), F.lit(False))
+    places = lambda z: F.sort_array(F.transform(F.filter(z, lambda x, i: same(x, F.get(z, i - 1)) | same(x, F.get(z, i + 1))), lambda x: x["4"]))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     covered = lambda z: F.aggregate(places(z), none, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["upto"])).alias("n"), (p + 3).alias("upto")))["n"]
-    return F.when(last < 1, 0).when(F.size(F.array_distinct(hashes)) > last, 0).otherwise(F.get(F.transform(F.array(ordered), covered), F.lit(0))).cast("long")
+    ordered = lambda h: F.sort_array(F.arrays_zip(F.slice(h, 1, n), *parts, F.sequence(F.lit(0), n - 1)))
+    counted = lambda h: F.when(F.size(F.array_distinct(h)) == n, 0).otherwise(let(ordered(h), covered))
+    return F.when(n < 2, 0).otherwise(let(F.transform(F.arrays_zip(*parts), lambda x: F.xxhash64(x)), counted)).cast("long")
+
+
+def common_counts(words: Column, common: Column, most: int) -> Column:
+    """array<long>: how often each of the common words occurs, 0 up to ``most`` words, and last all other words.
+
+    Each word becomes its place among the common ones, 0 for none; places are then taken out one after the other.
+    """
+    places = F.array_remove(F.transform(words, lambda w: F.array_position(common, w).cast("int")), 0)
+    start = lambda p: F.struct(p.alias("left"), F.array().cast("array<bigint>").alias("counts"))
+    cut = lambda a, left: F.struct(left.alias("left"), F.concat(a["counts"], F.array((F.size(a["left"]) - F.size(left)).cast("long"))).alias("counts"))
+    each = F.sequence(F.lit(1), F.lit(most))
+    counts = lambda p: F.aggregate(each, start(p), lambda a, k: let(F.array_remove(a["left"], k), lambda left: cut(a, left)), lambda a: F.concat(a["counts"], F.array((F.size(words) - F.size(p)).cast("long"))))
+    return let(places, counts)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -50,12 +63,13 @@ def repeated_lines(text: Column) -> Column:
 
 def class_counts(text: Column) -> Column:
     """array<long>: code points of each class, in order of CLASSES, then of no class."""
-    left, counts = F.coalesce(text, F.lit("")), []
-    for pattern in CLASSES:
-        rest = F.regexp_replace(left, pattern, "")
-        counts.append((F.length(left) - F.length(rest)).cast("long"))
-        left = rest
-    return F.array(*counts, F.length(left).cast("long"))
+
+    def cut(left: Column, counts: list[Column], patterns: tuple[str, ...]) -> Column:
+        if not patterns:
+            return F.array(*counts, F.length(left).cast("long"))
+        return let(F.regexp_replace(left, patterns[0], ""), lambda rest: cut(rest, [*counts, (F.length(left) - F.length(rest)).cast("long")], patterns[1:]))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: cut(t, [], CLASSES))
 
 
 def js_distance(found: Column, expected: Column) -> Column:
@@ -70,12 +84,12 @@ def js_distance(found: Column, expected: Column) -> Column:
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """(has_lang, lang, common, word_counts, class_counts, lang_words) from every document: one row per language.
 
-    Documents without a language are one of their own. Words are lower-cased and counted over all texts before the
+    Documents without a language are one of their own. Words are counted as they stand, over all texts, before the
     most frequent are chosen, ties by code point; what isn't among them is the last bin.
     """
     key = [F.col(f"`{lang_col}`").isNotNull().alias("has_lang"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang")]
-    text = F.col(f"`{text_col}`")
-    counted, _ = written(docs.select(*key, F.explode(words_of(F.lower(text))).alias("word")).groupBy("has_lang", "lang", "word").agg(F.count("*").alias("n")), "vocabulary")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    counted, _ = written(docs.select(*key, F.explode(words_of(text)).alias("word")).groupBy("has_lang", "lang", "word").agg(F.count("*").alias("n")), "vocabulary")
     order = Window.partitionBy("has_lang", "lang").orderBy(F.col("n").desc(), "word")
     top = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= common).groupBy("has_lang", "lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
     every = counted.groupBy("has_lang", "lang").agg(F.sum("n").alias("lang_words"))
@@ -90,6 +104,15 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     return joined.select("has_lang", "lang", F.transform(top_words, lambda x: x["word"]).alias("common"), F.concat(seen, fill, F.array(rest)).alias("word_counts"), "class_counts", words.alias("lang_words"))
 
 
+def _stats(text: Column, words: Column, common: Column, most: int) -> Column:
+    """All that is counted of a text, as one struct; text and words are variables, so each is worked out once."""
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        repeated_lines(text).alias("n_dup_lines"), repeated_words(words).alias("n_repeat_words"), class_counts(text).alias("classes"), common_counts(words, common, most).alias("found"),
+    )
+
+
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """One row per row of docs: ``row`` (all its columns as a struct), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, class_distance, word_distance, kept.
@@ -104,23 +127,15 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", comm
     is small by its file size, which Spark checks.
     """
     reference, _ = written(language_references(docs, text_col, lang_col, common), "references")
-    row, text = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
-    lang = F.col(f"row.`{lang_col}`")
-    split = docs.select(row).select("row", lang.isNotNull().alias("has_lang"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), words_of(text).alias("words"), words_of(F.lower(text)).alias("low"), class_counts(text).alias("classes"))
-    met = split.join(reference, ["has_lang", "lang"], "left")
-    n = F.size("words").cast("long")
-    bins = F.transform("low", lambda w: F.array_position(F.col("common"), w).cast("int"))
-    binned = met.select(
-        "row", "classes", "class_counts", "word_counts", "lang_words", n.alias("n_words"), bins.alias("bins"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        repeated_lines(text).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
-    )
-    of_bin = [(F.col("n_words") - F.size(F.array_remove("bins", F.lit(k).cast("int")))).cast("long") for k in [*range(1, common + 1), 0]]
-    told = binned.select("*", F.array(*of_bin).alias("found")).select(
-        "*", ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        js_distance(F.col("classes"), F.col("class_counts")).alias("class_distance"), js_distance(F.col("found"), F.col("word_counts")).alias("word_distance"),
-    )
+    row, lang = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(f"row.`{lang_col}`")
+    keyed = docs.select(row).select("row", lang.isNotNull().alias("has_lang"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"))
+    met = keyed.join(reference, ["has_lang", "lang"], "left")
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    stats = let(text, lambda t: let(words_of(t), lambda w: _stats(t, w, F.col("common"), common)))
+    told = met.select("row", "class_counts", "word_counts", "lang_words", stats.alias("s")).select(
+        "row", "lang_words", *[F.col(f"s.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes")],
+        js_distance(F.col("s.classes"), F.col("class_counts")).alias("class_distance"), js_distance(F.col("s.found"), F.col("word_counts")).alias("word_distance"),
+    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     large = F.col("lang_words") >= LEAST_LANGUAGE_WORDS
     odd_classes = large & (chars >= LEAST_CHARS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)
@@ -152,12 +167,12 @@ three AS (SELECT r, p, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM
 twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, w, w2, w3) AS c FROM three WHERE w3 IS NOT NULL) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT p + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
 dup AS (SELECT r, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
-vocabulary AS (SELECT has_lang, lang, lower(w) AS word, count(*) AS c FROM w GROUP BY ALL),
+vocabulary AS (SELECT has_lang, lang, w AS word, count(*) AS c FROM w GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY has_lang, lang ORDER BY c DESC, word) AS k FROM vocabulary) WHERE k <= {COMMON_WORDS}),
 total AS (SELECT has_lang, lang, sum(c)::BIGINT AS lang_words FROM vocabulary GROUP BY ALL),
 expected AS (SELECT has_lang, lang, k, c FROM top UNION ALL
              SELECT has_lang, lang, 0, lang_words - (SELECT sum(c) FROM top WHERE top.lang = total.lang AND top.has_lang = total.has_lang) FROM total),
-found AS (SELECT r, coalesce(k, 0) AS k, count(*) AS c FROM w LEFT JOIN top ON top.word = lower(w.w) AND top.lang = w.lang AND top.has_lang = w.has_lang GROUP BY ALL),
+found AS (SELECT r, coalesce(k, 0) AS k, count(*) AS c FROM w LEFT JOIN top ON top.word = w.w AND top.lang = w.lang AND top.has_lang = w.has_lang GROUP BY ALL),
 wd AS (SELECT r, sqrt(greatest(0, {_DIVERGENCE})) AS word_distance FROM (
          SELECT d.r, coalesce(found.c, 0) / n_words::DOUBLE AS p, expected.c / lang_words::DOUBLE AS q
          FROM d JOIN n USING (r) JOIN expected USING (has_lang, lang) JOIN total USING (has_lang, lang) LEFT JOIN found ON found.r = d.r AND found.k = expected.k) GROUP BY r),
