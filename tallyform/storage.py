@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,19 +30,48 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch tables that nobody has removed yet; they go when the process exits.
+_LEFT: set[str] = set()
+#: What the innermost ``scratch`` block of this thread has made.
+_WITHIN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@atexit.register
+def _remove_left() -> None:
+    spark = SparkSession.getActiveSession() if _LEFT else None
+    if spark is not None:
+        remove(spark, *_LEFT)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    _LEFT.add(path)
+    made = _WITHIN.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that this thread makes within the block go at its end: for work that writes its result inside it."""
+    made: list[str] = []
+    before = _WITHIN.set(made)
+    try:
+        yield
+    finally:
+        _WITHIN.reset(before)
+        remove(spark, *made)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no pending plan reads."""
     sc = spark.sparkContext
-    for path in paths:
+    for path in list(paths):
         try:
             where = sc._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            _LEFT.discard(path)
         except Exception:  # noqa: BLE001  at exit the gateway may be gone
             return
 

@@ -1,40 +1,22 @@
-"""Continuous ingestion: content dedup against a ledger and gap-free numbers, one writer per micro-batch."""
+"""Continuous ingestion: contents once each by state, gap-free numbers by commits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame
 
-from ..operators import ledger as L
+from ..operators.commits import Ledger
+from . import arrivals
 
 
-class FileLedger:
-    """An image ledger of Parquet commits: one folder per micro-batch, so a batch that runs again replaces itself."""
+def ingest(images: DataFrame, book: Ledger, checkpoint: str, name: str = "inbox"):
+    """Starts the stream over what is there: new contents get file numbers in the ledger.
 
-    def __init__(self, spark: SparkSession, path: str, first: int = 28):
-        self.spark, self.path, self.first = spark, path, first
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        schema = "sha256 string, file_no long, path string, batch long"
-        try:
-            held = self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
-            return self.spark.sql("SELECT '' AS sha256, 0L AS file_no, '' AS path, 0L AS batch LIMIT 0")
-        return held if before is None else held.where(F.col("batch") < before)
-
-    def commit(self, images: DataFrame, batch: int) -> None:
-        """Numbers images (sha256, path, modificationTime) that no earlier batch holds, in order of time and path."""
-        held = self.rows(before=batch).select("sha256", "file_no", "path")
-        first = Window.partitionBy("sha256").orderBy("modificationTime", "path")
-        new = images.select("sha256", "path", "modificationTime").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k").join(held.select("sha256"), "sha256", "left_anti")
-        numbered = L.file_numbers(new, ["modificationTime", "path"], self.first, held=held.count())
-        numbered.select("sha256", "file_no", "path").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-
-def ingest(images: DataFrame, ledger: FileLedger, checkpoint: str):
-    """Starts the stream over what is there; after a crash the checkpoint and the ledger's batch folders give the same numbers."""
-    return images.select("sha256", "path", "modificationTime").writeStream.foreachBatch(ledger.commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    What was seen is state of the stream (begun from what the ledger holds), and the next number stands in the newest
+    commit, so a batch costs as much as it brings. A commit carries its batch, so one that runs again after a crash
+    numbers nothing twice.
+    """
+    new = arrivals.first_seen(images, book.snapshot().images())
+    return new.writeStream.foreachBatch(lambda rows, batch: book.append_files(rows, (name, batch)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_by_key(stream: DataFrame, key: str, checkpoint: str, sink: str):
