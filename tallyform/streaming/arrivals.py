@@ -57,7 +57,7 @@ class Settling(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "length long, modificationTime timestamp, done boolean, deadline long")
+        self.held = handle.getValueState("held", "length long, changed long, done boolean, deadline long")
 
     def _wait(self, now: int, before: int | None) -> int:
         if before is not None:
@@ -71,22 +71,22 @@ class Settling(StatefulProcessor):
         for r in sorted(rows, key=lambda r: r["observed_at"]):
             if deadline is None:
                 deadline = self._wait(now, None)
-            same = r["length"] > 0 and (r["length"], r["modificationTime"]) == (length, changed)
+            same = r["length"] > 0 and (r["length"], r["changed"]) == (length, changed)
             if not same:
                 if done:
                     deadline = self._wait(now, deadline)  # a new state of a file that had settled
-                length, changed, done = r["length"] or None, r["modificationTime"], False
+                length, changed, done = r["length"] or None, r["changed"], False
             elif done:
                 deadline = self._wait(now, deadline)  # still there, told already
             else:
                 done = True
-                yield Row(path=key[0], length=length, modificationTime=changed, verdict="stable")
+                yield Row(path=key[0], length=length, changed=changed, verdict="stable")
         self.held.update((length, changed, done, deadline))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         length, changed, done, _ = self.held.get()
         if not done:
-            yield Row(path=key[0], length=length or 0, modificationTime=changed, verdict="timed_out" if length else "empty")
+            yield Row(path=key[0], length=length or 0, changed=changed, verdict="timed_out" if length else "empty")
         self.held.clear()
 
 
@@ -95,9 +95,13 @@ def settled(observations: DataFrame, wait_seconds: float = 12.0) -> DataFrame:
     and it isn't empty. A path that doesn't come to rest within the wait is timed_out, or empty if nothing was in it.
 
     A path's state goes when it was not seen for the wait after its verdict; a file that changes again gets a new one.
+    Waits run by the clock, so start the stream with a processing-time trigger: one that ends when its input does
+    (``availableNow``) would go on for as long as any wait may run out.
     """
     keep_state_on_disk(observations.sparkSession)
-    return observations.groupBy("path").transformWithState(Settling(int(wait_seconds * 1000)), SETTLED, "Append", "ProcessingTime")
+    looks = observations.select("path", "length", F.unix_micros("modificationTime").alias("changed"), "observed_at")
+    told = looks.groupBy("path").transformWithState(Settling(int(wait_seconds * 1000)), "path string, length long, changed long, verdict string", "Append", "ProcessingTime")
+    return told.select("path", "length", F.timestamp_micros("changed").alias("modificationTime"), "verdict")
 
 
 class FolderWatch(DataSource):

@@ -181,7 +181,7 @@ def test_settling_tells_growing_stable_and_late_files_apart(spark, tmp_path):
         rows = [(p, n, at.replace(second=t), at.replace(minute=k)) for p, n, t in files]
         spark.createDataFrame(rows, arrivals.OBSERVATION).coalesce(1).write.mode("append").json(source)
         found = arrivals.settled(spark.readStream.schema(arrivals.OBSERVATION).json(source), wait_seconds=60 if k < 5 else 1)
-        found.writeStream.format("json").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        found.writeStream.format("json").option("path", out).option("checkpointLocation", check).trigger(once=True).start().awaitTermination()
         return {(r["path"], r["length"], r["verdict"]) for r in spark.read.schema(arrivals.SETTLED).json(out).collect()}
 
     assert look(0, ("a", 5, 1), ("b", 1, 1), ("c", 0, 1)) == set()
