@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
-from ..operators import consensus, extraction, layout, ledger, localization, quality, validation
+from ..operators import commits, consensus, extraction, layout, ledger, localization, quality, validation
+from ..storage import new_path
 from . import record_plan
 
 
@@ -142,25 +143,25 @@ def email_find(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", mail.alias("email")).where("email <> ''")
 
 
-_CODE = "CASE c_custkey % 5 WHEN 0 THEN 'HG' || c_custkey % 10 || '3EZ' WHEN 1 THEN 'BS' || 'I ' || c_custkey % 10 || 'TX' WHEN 2 THEN 'S16 8A' || 'G' WHEN 3 THEN 'M' || c_custkey % 10 || ' ' || 'O' || 'AB' ELSE 'XX' || c_custkey END"
+_CODE = "CASE c_custkey % 5 WHEN 0 THEN 'LK' || c_custkey % 10 || '5QW' WHEN 1 THEN 'WNI ' || c_custkey % 10 || 'RD' WHEN 2 THEN 'K27 3PL' WHEN 3 THEN 'B' || c_custkey % 10 || ' OXD' ELSE 'QQ' || c_custkey END"
 _CODE_OK = "'(?i)^(GIR\\s*0AA|SAN\\s*TA1|[A-Z]{1,2}[0-9][A-Z0-9]?\\s*[0-9][A-Z]{2}|[A-Z]{1,2}[0-9]{1,2}[A-Z]?\\s*[0-9][A-Z]{2})$'"
 
 
 @query(f"""
 WITH r AS (SELECT c_custkey, {_CODE} AS raw FROM customer),
-f AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN raw[:3] || ' ' || raw[4:] WHEN 1 THEN 'BS1 ' || raw[5:] WHEN 3 THEN raw[:2] || ' 0AB' ELSE raw END AS made FROM r)
+f AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN raw[:3] || ' ' || raw[4:] WHEN 1 THEN 'WN1 ' || raw[5:] WHEN 3 THEN raw[:2] || ' 0XD' ELSE raw END AS made FROM r)
 SELECT c_custkey, raw, CASE WHEN c_custkey % 5 = 4 THEN raw ELSE made END AS repaired, regexp_matches(trim(CASE WHEN c_custkey % 5 = 4 THEN raw ELSE made END), {_CODE_OK}) AS is_valid FROM f""")
 def postcode_repair(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "customer").select("c_custkey", F.expr(_CODE).alias("raw"))
     return raw.withColumn("repaired", C.repaired_postcode(F.col("raw"))).withColumn("is_valid", C.is_postcode(F.col("repaired")))
 
 
-_CONTACT = "CASE o_orderkey % 4 WHEN 0 THEN '£' || CAST(floor(o_totalprice) % 100000 AS BIGINT) WHEN 1 THEN '€ ' || o_orderkey % 90 || '.25' WHEN 2 THEN '' || o_orderkey ELSE '$' || 'abc' END"
+_CONTACT = "CASE o_orderkey % 4 WHEN 0 THEN '£' || CAST(floor(o_totalprice) % 100000 AS BIGINT) WHEN 1 THEN '€ ' || o_orderkey % 90 || '.25' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) ELSE '$abc' END"
 
 
 @query(f"WITH r AS (SELECT o_orderkey, {_CONTACT} AS raw FROM orders) SELECT o_orderkey, CASE WHEN regexp_matches(raw, '[£€$]\\s*[0-9]{{2,5}}') THEN regexp_replace(raw, '[^0-9]', '', 'g') ELSE '' END AS contact FROM r")
 def contact_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", C.contact_digits(F.expr(_CONTACT)).alias("contact"))
+    return table(spark, sf, "orders").select("o_orderkey", C.contact_digits(F.expr(_CONTACT.replace("VARCHAR", "STRING"))).alias("contact"))
 
 
 @query("SELECT o_orderkey, 'Nokia 7210' AS model, lpad(o_orderkey::VARCHAR, 6, '4') || ' - ' || lpad((o_custkey * 7)::VARCHAR, 9, '3') AS imei1, '%@7$2 - #1-4!' AS imei2 FROM orders")
@@ -257,7 +258,14 @@ def _synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("image_id", F.lit("A").alias("variant"), "token_seq", "text", ((k % 12) * 60).cast("int").alias("x"), (F.floor(k / 12) * 40 + k % 5).cast("int").alias("y"), F.lit(50).alias("width"), (18 + k % 4).cast("int").alias("height"), (40.0 + (k * 13) % 60).alias("confidence"))
 
 
-@query()
+#: By the layout of _synthetic_tokens: twelve words to a row, rows too far apart to meet.
+_ROWS_SQL = f"""
+WITH w AS (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS k FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS x FROM documents)),
+r AS (SELECT doc_id, k // 12 AS row, min((k // 12) * 40 + k % 5)::INT AS y, count(*)::INT AS n_words, string_agg(t, ' ' ORDER BY k) AS text FROM w GROUP BY ALL)
+SELECT doc_id::VARCHAR AS image_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT AS row_seq, y, n_words, text FROM r WHERE trim(text) NOT IN ({_in(fixed.ARTIFACT_ROWS)})"""
+
+
+@query(_ROWS_SQL)
 def row_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return layout.cluster_rows(_synthetic_tokens(spark, sf)).select("image_id", "row_seq", "y", F.size("words").alias("n_words"), "text")
 
@@ -296,6 +304,69 @@ def retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.decide(runs, ["region"])
 
 
+def _retried_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A sound record of every order, with one fault by its key."""
+    k = F.col("o_orderkey")
+    case, blank = k % 8, F.array().cast("array<struct<x:int,y:int,width:int,height:int>>")
+    value = {n: F.lit("x") for n in fixed.REQUIRED} | {
+        "Title": F.lit("Ms"), "First Name": F.lit("Ada"), "Last Name": F.lit("Ek"), "Email": F.when(case == 4, "nobody").otherwise("ada@ek.example.org"), "DOB": F.lit("03/02/1990"), "Gender": F.when(case == 5, "male").otherwise("Female"),
+        "Postal Code": F.when(case == 2, "QX").otherwise("K27 3PL"), "Contact": F.when(case == 6, "12a").otherwise("720"), "Issue Date": F.when(case == 0, "31/02/2020").otherwise("04/05/2020"), "Renewal Date": F.lit("06/07/2022"),
+        "City": F.concat(F.lit("Town "), k), "IMEI 1": F.when(case == 1, "1234").otherwise("351806012233445"), "Mobile Model": F.lit("Nokia"), "SIM No": F.lit(""),
+    }
+    box = lambda x: F.array(F.struct(F.lit(x).alias("x"), F.lit(10).alias("y"), F.lit(30).alias("width"), F.lit(12).alias("height")))
+    boxes = {n: box(40) for n in ("Issue Date", "DOB", "Postal Code", "IMEI 1", "City", "Contact")} | {"Gender": box(5000)}
+    field = lambda n, v: F.struct(v.alias("value"), v.alias("raw_text"), F.when((case == 3) & F.lit(n == "City"), 30.0).otherwise(90.0).alias("confidence"), F.lit(n == "SIM No").alias("needs_review"), boxes.get(n, blank).alias("coordinates"))
+    made = F.create_map(*[x for n, v in value.items() for x in (F.lit(n), field(n, v))])
+    keyed = table(spark, sf, "orders").select(k.cast("string").alias("image_id"), F.lit("A").alias("variant"), F.lit(1).alias("record_number"), "o_orderkey", made.alias("fields"))
+    return validation.validated(validation.calculated(keyed))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS c FROM orders),
+d AS (
+  SELECT k, 1 AS round, 'Issue Date' AS field, 'ACCEPTED_CONSENSUS' AS decision, '05/06/1985' AS value FROM o WHERE c = 0
+  UNION ALL SELECT k, 2, 'DOB', 'ACCEPTED_CONSENSUS', '07/08/1960' FROM o WHERE c = 0
+  UNION ALL SELECT k, 1, 'IMEI 1', CASE WHEN k % 3 = 0 THEN 'NO_SAFE_CORRECTION' ELSE 'ACCEPTED_STRICT_IMEI' END, CASE WHEN k % 3 = 0 THEN NULL ELSE lpad(k::VARCHAR, 15, '4') END FROM o WHERE c = 1
+  UNION ALL SELECT k, 1, 'Postal Code', 'ACCEPTED_POSTCODE', 'WN1 4RD' FROM o WHERE c = 2
+  UNION ALL SELECT k, 1, 'City', 'NO_OCR_OUTPUT', NULL FROM o WHERE c = 3
+  UNION ALL SELECT k, 1, 'Email', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c = 4
+  UNION ALL SELECT k, 1, 'Gender', 'EMPTY_CROP_REGION', NULL FROM o WHERE c = 5
+  UNION ALL SELECT k, 1, 'Contact', 'INVALID_IMAGE_INPUT', NULL FROM o WHERE c = 6
+  UNION ALL SELECT k, 1, 'Installments', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c = 6
+  UNION ALL SELECT k, 1, 'Amount in Words', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c = 6
+  UNION ALL SELECT k, 1, 'Installments', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c = 0
+  UNION ALL SELECT k, 1, 'Amount in Words', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c = 0
+  UNION ALL SELECT k, 1, 'SIM No', 'FIELD_REGION_NOT_LOCATED', NULL FROM o WHERE c < 7)
+SELECT k AS o_orderkey, round::INT AS round, field, decision, value, CASE WHEN c = 7 THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS status FROM o LEFT JOIN d USING (k)""")
+def retry_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Retries until nothing changes: a corrected issue date makes the birth date fail, which the second round asks for."""
+    records = _retried_records(spark, sf)
+    k = F.col("image_id").cast("long")
+    images = table(spark, sf, "orders").where("o_orderkey % 8 <> 6").select(F.col("o_orderkey").cast("string").alias("image_id"), F.lit(800).alias("width"), F.lit(600).alias("height"))
+    none = records.select(*record_plan.KEYS, F.lit("").alias("field"), *[F.lit(None).cast("struct<x:int,y:int,width:int,height:int>").alias(c) for c in ("value_box", "label_box")], F.lit("").alias("anchor"), F.lit(0.0).alias("confidence"), F.lit("").alias("source")).where("false")
+
+    def read(asked: DataFrame) -> DataFrame:
+        device = F.when(k % 3 == 0, "Nokia 12").otherwise(F.concat(F.lit("Nokia "), F.lpad(F.col("image_id"), 15, "4")))
+        said = F.when(F.col("field") == "Issue Date", "on 05/06/1985").when(F.col("field") == "DOB", "07/08/1960").when(F.col("field") == "IMEI 1", device).when(F.col("field") == "Postal Code", "WNI 4RD").otherwise("")
+        return asked.select(*record_plan.KEYS, "field", said.alias("raw_text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("run_seq")).withColumn("confidence", F.col("run_seq") * 20.0)
+
+    told, decisions = record_plan.reviewed(records, none, images, read)
+    return told.select(*record_plan.KEYS, "o_orderkey", "status").join(decisions, record_plan.KEYS, "left").select("o_orderkey", "round", "field", "decision", "value", "status")
+
+
+@query("""
+WITH f AS (SELECT sha256(o_custkey::VARCHAR) AS fingerprint, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY p) AS nth FROM f)
+SELECT fingerprint, 109 + row_number() OVER (ORDER BY p, k) AS form_no FROM n WHERE nth = 1""")
+def ledger_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Form numbers over one commit per order priority: a customer keeps the number of the first commit that brought it."""
+    book, orders = commits.Ledger(spark, new_path(spark, "ledger")), table(spark, sf, "orders")
+    for name in [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]:
+        brought = orders.where(F.col("o_orderpriority") == name).select(F.sha2(F.col("o_custkey").cast("string"), 256).alias("fingerprint"), "o_orderkey")
+        book.allocate_forms(brought, ["o_orderkey"])
+    return book.snapshot().records().select("fingerprint", "form_no")
+
+
 @query("""
 SELECT l_orderkey, min(l_partkey % 1000)::BIGINT AS x, min(l_suppkey % 500)::BIGINT AS y, (max(l_partkey % 1000 + l_quantity) - min(l_partkey % 1000))::BIGINT AS width, (max(l_suppkey % 500 + l_linenumber) - min(l_suppkey % 500))::BIGINT AS height
 FROM lineitem GROUP BY l_orderkey""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from ..operators import ledger
 
 
 def write_batch(records: DataFrame, path: str) -> None:
@@ -22,6 +23,71 @@ def write_failures(failures: DataFrame, path: str) -> None:
     failures.withColumn("failed_at", F.current_timestamp()).write.mode("append").json(f"{path}/failed")
 
 
+#: Outcome tables of a batch.
+SUCCESSFUL, REVIEW, FAILED = "successful", "review", "failed"
+
+
+def outcome(status: Column) -> Column:
+    """Which table a result belongs to by its status: what is neither validated nor in review has failed."""
+    return F.when(status == "VALIDATED", SUCCESSFUL).when(status == "REVIEW_REQUIRED", REVIEW).otherwise(FAILED)
+
+
+class BatchOutputs:
+    """Outcome tables of a stream of batches, each result in them once, however often a batch runs.
+
+    A batch is one folder, ``batch=<number>/outcome=<table>/``, written in one pass over its results and replaced as a
+    whole when the batch runs again. Readers take the batches that Spark has marked as complete, so what a killed batch
+    left half-written is not seen. ``write`` fits ``foreachBatch``.
+    """
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write(self, results: DataFrame, batch: int) -> dict[str, int]:
+        """Writes results (status and any other columns) and returns their counts by status, issues too where they have
+        them. The counts are taken on the way of the same pass and stand as one row in the table of counts."""
+        seen = Observation(f"batch {batch}")
+        n_issues = F.coalesce(F.sum(F.size("issues")), F.lit(0)) if "issues" in results.columns else F.lit(0)
+        status = F.coalesce("status", F.lit("FAILED"))
+        of = {name: F.count_if(status == name) for name in ("VALIDATED", "REVIEW_REQUIRED")}
+        watched = results.observe(seen, F.count("*").alias("results"), *[n.alias(name) for name, n in of.items()], n_issues.cast("long").alias("issues"))
+        watched.withColumn("outcome", outcome(F.col("status"))).write.mode("overwrite").partitionBy("outcome").json(f"{self.path}/results/batch={batch}")
+        counts = {k: v or 0 for k, v in seen.get.items()}
+        counts["FAILED"] = counts["results"] - counts["VALIDATED"] - counts["REVIEW_REQUIRED"]
+        row = results.sparkSession.createDataFrame([(counts["results"], counts["VALIDATED"], counts["REVIEW_REQUIRED"], counts["FAILED"], counts["issues"])], COUNTS)
+        row.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{self.path}/counts/batch={batch}")
+        return counts
+
+    def _complete(self, spark: SparkSession, table: str) -> list[str]:
+        """Folders of batches that were written to their end."""
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        return [f"{self.path}/{table}/{n}" for n in names if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS"))]
+
+    def read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
+        """The results of one outcome table: schema's columns and batch."""
+        folders, columns = self._complete(spark, "results"), f"{schema}, batch long, outcome string"
+        rows = spark.read.schema(columns).option("basePath", f"{self.path}/results").json(folders) if folders else spark.createDataFrame([], columns)
+        return rows.where(F.col("outcome") == table).drop("outcome")
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """One row per complete batch: COUNTS, written_at, batch."""
+        folders, columns = self._complete(spark, "counts"), f"{COUNTS}, written_at timestamp, batch long"
+        return spark.read.schema(columns).option("basePath", f"{self.path}/counts").json(folders) if folders else spark.createDataFrame([], columns)
+
+    def rebuilt(self, spark: SparkSession, schema: str) -> DataFrame:
+        """Every record once, over all batches: of equal fingerprints a successful one first, then the earliest batch's."""
+        both = (self.read(spark, name, schema) for name in (SUCCESSFUL, REVIEW))
+        return ledger.newest_records(*both)
+
+
+COUNTS = "results long, validated long, review_required long, failed long, issues long"
+
+
 def conversion_proofs(pairs: DataFrame) -> DataFrame:
     """(image, source_sha256, converted_sha256, created_at) of (image, source, converted) contents."""
     return pairs.select("image", F.sha2("source", 256).alias("source_sha256"), F.sha2("converted", 256).alias("converted_sha256"), F.current_timestamp().alias("created_at"))
