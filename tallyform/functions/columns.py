@@ -33,6 +33,35 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded_cents(x: Column) -> Column:
+    """x to two decimals by its binary value, half to even: 2.675 is stored below 2.675, so 2.67.
+
+    The fraction is taken apart into three integers of 26 bits, and hundredths of it are counted in integers. Below
+    0.001 nothing is left to count; beyond 2**45, where cents are coarser than what a double tells apart, and for
+    infinite ones and NaN the built-in rounding stands.
+    """
+    bits, unit = 26, float(1 << 26)
+    limb = lambda rest, body: let(rest * unit, lambda y: let(F.floor(y), lambda n: body(n, y - n)))
+
+    def settle(high: Column, tail: Column) -> Column:
+        """Cents of high / 2**52, with tail / 2**78 more."""
+        low = tail * 100
+        total = high * 100 + F.shiftright(low, bits)
+        more = low.bitwiseAND((1 << bits) - 1) > 0
+        half, part = F.lit(1 << 51), total.bitwiseAND((1 << 52) - 1)
+        cents = F.shiftright(total, 52)
+        up = (part > half) | ((part == half) & (more | (cents % 2 == 1)))
+        return cents + up.cast("long")
+
+    def exact(a: Column) -> Column:
+        whole = F.floor(a)
+        cents = limb(a - whole, lambda f1, r1: limb(r1, lambda f2, r2: limb(r2, lambda f3, _: settle(f1 * (1 << bits) + f2, f3))))
+        return F.when(a < 0.001, 0.0).otherwise((whole * 100 + cents) / F.lit(100.0))
+
+    signed = lambda a: F.when(a < float(1 << 45), F.when(x < 0, -exact(a)).otherwise(exact(a))).otherwise(F.bround(x, 2))
+    return let(F.abs(x), signed)
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value, or null: a small dictionary as one CASE, which needs neither a join nor a shuffle."""
     return reduce(lambda case, kv: case.when(key == kv[0], kv[1]), table.items(), F.when(F.lit(False), F.lit(None).cast("string")))

@@ -40,9 +40,9 @@ def vote(candidates: DataFrame, keys: list[str], value: str = "value", confidenc
 
     carry: columns of its most confident reading, the first of equals. The mean is over positive confidences, else their maximum; a value is accepted from a mean of 55 or two votes on.
     """
-    tally = candidates.groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(seq).alias("_first"), F.bround(F.avg(F.when(F.col(confidence) > 0, F.col(confidence))), 2).alias("_mean"), F.max(confidence).alias("_max"), F.max_by(F.struct(F.lit(0).alias("_"), *carry), F.struct(F.col(confidence), -F.col(seq))).alias("_own"))
+    tally = candidates.groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(seq).alias("_first"), F.avg(F.when(F.col(confidence) > 0, F.col(confidence))).alias("_mean"), F.max(confidence).alias("_max"), F.max_by(F.struct(F.lit(0).alias("_"), *carry), F.struct(F.col(confidence), -F.col(seq))).alias("_own"))
     best = tally.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("votes").desc(), "_first"))).where("_k = 1")
-    mean = F.coalesce("_mean", "_max")
+    mean = F.coalesce(C.rounded_cents(F.col("_mean")), F.col("_max"))
     return best.select(*keys, value, "votes", mean.alias("mean_confidence"), ((mean >= LEAST_MEAN) | (F.col("votes") >= LEAST_VOTES)).alias("accepted"), *[F.col(f"_own.{c}").alias(c) for c in carry])
 
 

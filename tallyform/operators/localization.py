@@ -82,8 +82,3 @@ def with_token_spans(fields: DataFrame, regions: DataFrame) -> DataFrame:
     own = box_of(F.col("coordinates"))
     joined = fields.join(regions, [*RECORD, "field"], "left")
     return joined.withColumn("source", F.coalesce("source", F.when(own.isNotNull(), "token_span"))).withColumn("anchor", F.coalesce("anchor", F.when(own.isNotNull(), ""))).withColumn("confidence_region", F.coalesce(regions["confidence"], F.when(own.isNotNull(), 0.7))).withColumn("value_box", F.coalesce("value_box", own)).withColumn("label_box", F.coalesce("label_box", own))
-
-
-def unlocated(failing: DataFrame, regions: DataFrame, record: list[str]) -> DataFrame:
-    """Failing fields (record, field) without a region, as issues."""
-    return failing.join(regions, [*record, "field"], "left_anti").select(*record, "field", F.lit("FIELD_REGION_NOT_LOCATED").alias("reason"), F.lit("FATAL").alias("severity"))

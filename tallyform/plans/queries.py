@@ -143,7 +143,7 @@ def email_find(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", mail.alias("email")).where("email <> ''")
 
 
-_CODE = "CASE c_custkey % 5 WHEN 0 THEN 'LK' || c_custkey % 10 || '5QW' WHEN 1 THEN 'WNI ' || c_custkey % 10 || 'RD' WHEN 2 THEN 'K27 3PL' WHEN 3 THEN 'B' || c_custkey % 10 || ' OXD' ELSE 'QQ' || c_custkey END"
+_CODE = "CASE c_custkey % 5 WHEN 0 THEN 'LK' || c_custkey % 10 || '5NW' WHEN 1 THEN 'WNI ' || c_custkey % 10 || 'RD' WHEN 2 THEN 'K27 3PL' WHEN 3 THEN 'B' || c_custkey % 10 || ' OXD' ELSE 'QQ' || c_custkey END"
 _CODE_OK = "'(?i)^(GIR\\s*0AA|SAN\\s*TA1|[A-Z]{1,2}[0-9][A-Z0-9]?\\s*[0-9][A-Z]{2}|[A-Z]{1,2}[0-9]{1,2}[A-Z]?\\s*[0-9][A-Z]{2})$'"
 
 
@@ -381,10 +381,17 @@ def dyn_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     return layout.tolerances(t).select(F.col("image_id").alias("l_orderkey"), "tolerance")
 
 
-@query("SELECT user_id, coalesce(avg(value) FILTER (value > 20), avg(value)) AS confidence, count(*) FILTER (value < 50) AS low FROM events GROUP BY user_id")
+#: Two decimals of the binary value: cents are counted in units of 2^-52, halves go to even.
+_MEAN_SQL = """
+WITH a AS (SELECT user_id, coalesce(avg(value) FILTER (value > 0), avg(value)) AS m, count(*) FILTER (value < 50) AS low FROM events GROUP BY user_id),
+n AS (SELECT *, 100 * (m * 4503599627370496)::HUGEINT AS t FROM a),
+c AS (SELECT *, t // 4503599627370496 AS q, t % 4503599627370496 AS r FROM n)
+SELECT user_id, (q + CASE WHEN r > 2251799813685248 OR r = 2251799813685248 AND q % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 100 AS confidence, low FROM c"""
+
+
+@query(_MEAN_SQL)
 def confidence_mean(spark: SparkSession, sf: str) -> DataFrame:
-    mean = F.coalesce(F.avg(F.when(F.col("value") > 20, F.col("value"))), F.avg("value"))
-    return table(spark, sf, "events").groupBy("user_id").agg(mean.alias("confidence"), F.count_if(F.col("value") < 50).alias("low"))
+    return table(spark, sf, "events").groupBy("user_id").agg(layout.mean_confidence(F.col("value")).alias("confidence"), F.count_if(F.col("value") < 50).alias("low"))
 
 
 # localisation
@@ -448,9 +455,13 @@ def dedup_content(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(ledger.content_key(F.col("text")).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', l_returnflag, l_linestatus, l_partkey::VARCHAR, l_suppkey::VARCHAR)) AS fingerprint FROM lineitem")
+_PRINTED = {"Title": "l_returnflag", "Email": "l_linestatus", "File Ref": "l_partkey", "SIM No": "l_suppkey"}
+
+
+@query(f"SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', {', '.join(_PRINTED[n] + '::VARCHAR' if n in _PRINTED else chr(39) * 2 for n in fixed.FIELDS)})) AS fingerprint FROM lineitem")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.sha2(F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), 256).alias("fingerprint"))
+    fields = F.create_map(*[x for n, c in _PRINTED.items() for x in (F.lit(n), F.struct(F.col(c).cast("string").alias("raw_text")))])
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", extraction.fingerprint(fields).alias("fingerprint"))
 
 
 @query("SELECT fingerprint, 109 + row_number() OVER (ORDER BY doc_id) AS form_no FROM (SELECT sha256(text) AS fingerprint, min(doc_id) AS doc_id FROM documents GROUP BY 1)")

@@ -31,15 +31,12 @@ def image_stream(spark: SparkSession, path: str, archive: str | None = None, per
     return found.withColumn("sha256", F.sha2("content", 256))
 
 
-def stable(found: DataFrame, seconds: int = 12) -> DataFrame:
-    """Files that nobody wrote to lately, for stores without atomic rename."""
-    return found.where((F.col("length") > 0) & (F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))))
-
-
-def ocr_tokens(found: DataFrame, engine: Callable[[], Callable[[bytes, str], list[tuple]]], variants: tuple[str, ...] = ("A", "B", "C")) -> DataFrame:
-    """OCR_TOKENS of images (sha256, content) by any engine: a factory, called once per task, of
+def ocr_tokens(found: DataFrame, engine: Callable[[], Callable[[bytes, str], list[tuple]]], variants: tuple[str, ...] = ("A", "B", "C"), faint: str = "D", faint_below: float = 20.0) -> DataFrame:
+    """OCR_TOKENS of images (sha256, content, maybe contrast) by any engine: a factory, called once per task, of
     (content, variant) -> [(text, left, top, width, height, confidence, scale)].
 
+    Images whose contrast is below faint_below are read in one variant more.
+
     Blank texts and negative or null confidences are dropped; coordinates are taken back to the image's own pixels.
     """
 
@@ -53,7 +50,9 @@ def ocr_tokens(found: DataFrame, engine: Callable[[], Callable[[bytes, str], lis
                     rows.append((sha, variant, k, text, *(int(round(v / s)) for v in (x, y, w, h)), conf))
             yield pd.DataFrame(rows, columns=[f.name for f in OCR_TOKENS.fields])
 
-    each = found.select("sha256", "content", F.explode(F.array(*map(F.lit, variants))).alias("variant"))
+    usual = F.array(*map(F.lit, variants))
+    asked = F.when(F.col("contrast") < faint_below, F.concat(usual, F.array(F.lit(faint)))).otherwise(usual) if "contrast" in found.columns else usual
+    each = found.select("sha256", "content", F.explode(asked).alias("variant"))
     return sound_tokens(each.mapInPandas(run, OCR_TOKENS))
 
 

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import glob
+import os
+import shutil
+import time
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import columns as C
 from ..functions import fixed
@@ -18,11 +29,6 @@ def write_batch(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("file_no", "status").json(f"{path}/structured")
 
 
-def write_failures(failures: DataFrame, path: str) -> None:
-    """Dead letters: image, error."""
-    failures.withColumn("failed_at", F.current_timestamp()).write.mode("append").json(f"{path}/failed")
-
-
 #: Outcome tables of a batch.
 SUCCESSFUL, REVIEW, FAILED = "successful", "review", "failed"
 
@@ -45,8 +51,9 @@ class BatchOutputs:
 
     def write(self, results: DataFrame, batch: int) -> dict[str, int]:
         """Writes results (status and any other columns) and returns their counts by status, issues too where they have
-        them. The counts are taken on the way of the same pass and stand as one row in the table of counts."""
-        seen = Observation(f"batch {batch}")
+        them. The counts are taken on the way of the same pass and stand, with
+        the seconds it took, as one row in the table of counts."""
+        seen, began = Observation(f"batch {batch}"), time.perf_counter()
         n_issues = F.coalesce(F.sum(F.size("issues")), F.lit(0)) if "issues" in results.columns else F.lit(0)
         status = F.coalesce("status", F.lit("FAILED"))
         of = {name: F.count_if(status == name) for name in ("VALIDATED", "REVIEW_REQUIRED")}
@@ -54,7 +61,7 @@ class BatchOutputs:
         watched.withColumn("outcome", outcome(F.col("status"))).write.mode("overwrite").partitionBy("outcome").json(f"{self.path}/results/batch={batch}")
         counts = {k: v or 0 for k, v in seen.get.items()}
         counts["FAILED"] = counts["results"] - counts["VALIDATED"] - counts["REVIEW_REQUIRED"]
-        row = results.sparkSession.createDataFrame([(counts["results"], counts["VALIDATED"], counts["REVIEW_REQUIRED"], counts["FAILED"], counts["issues"])], COUNTS)
+        row = results.sparkSession.createDataFrame([(counts["results"], counts["VALIDATED"], counts["REVIEW_REQUIRED"], counts["FAILED"], counts["issues"], round(time.perf_counter() - began, 3))], COUNTS)
         row.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{self.path}/counts/batch={batch}")
         return counts
 
@@ -85,7 +92,7 @@ class BatchOutputs:
         return ledger.newest_records(*both)
 
 
-COUNTS = "results long, validated long, review_required long, failed long, issues long"
+COUNTS = "results long, validated long, review_required long, failed long, issues long, seconds double"
 
 
 def conversion_proofs(pairs: DataFrame) -> DataFrame:
@@ -107,13 +114,61 @@ SCRIPT_TAIL = (
 )
 
 
+class ScriptSink(DataSource):
+    """``write.format("keystroke_script").save(path)``: lines of sorted ranges, joined in order between head and tail.
+
+    Each task writes its range as a part beside the script, on a mounted folder that all share; the committer copies the
+    parts, one buffer at a time, into a file that takes the script's place when it is whole.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "keystroke_script"
+
+    def writer(self, schema: Any, overwrite: bool) -> DataSourceWriter:
+        return _ScriptWriter(self.options["path"], uuid.uuid4().hex)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    index: int
+    path: str
+
+
+class _ScriptWriter(DataSourceWriter):
+    def __init__(self, path: str, job: str):
+        self.path, self.job = path, job
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        task = TaskContext.get()
+        part = f"{self.path}.{self.job}.{task.partitionId()}.{task.taskAttemptId()}"
+        with open(part, "w", encoding="utf-8") as out:
+            out.writelines(row["line"] + "\n" for row in iterator)
+        return _Part(task.partitionId(), part)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        whole = f"{self.path}.{self.job}.whole"
+        with open(whole, "wb") as out:
+            out.write(("\n".join(SCRIPT_HEAD) + "\n").encode())
+            for part in sorted((m for m in messages if m is not None), key=lambda m: m.index):
+                with open(part.path, "rb") as lines:
+                    shutil.copyfileobj(lines, out)
+            out.write(("\n".join(SCRIPT_TAIL) + "\n").encode())
+        os.replace(whole, self.path)
+        self._clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        for left in glob.glob(f"{glob.escape(self.path)}.{self.job}.*"):  # parts of lost attempts too
+            os.remove(left)
+
+
 def write_script(records: DataFrame, path: str) -> int:
-    """Renders the keystroke script; lines reach the driver one partition at a time. Returns the records written."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join(SCRIPT_HEAD) + "\n")
-        for row in entry_script(records).orderBy("form_no", "record_number").toLocalIterator():
-            out.write(row["line"] + "\n")
-            n += 1
-        out.write("\n".join(SCRIPT_TAIL) + "\n")
-    return n
+    """Writes the keystroke script in order of form_no and record_number, by tasks; returns the records written."""
+    spark, seen = records.sparkSession, Observation("script")
+    spark.dataSource.register(ScriptSink)
+    lines = entry_script(records).repartitionByRange("form_no", "record_number").sortWithinPartitions("form_no", "record_number")
+    lines.observe(seen, F.count("*").alias("n")).select("line").write.format("keystroke_script").mode("overwrite").save(path)
+    return seen.get["n"]

@@ -63,3 +63,17 @@ def test_scale(spark, w, h, scale):
 
 def test_fields():
     assert len(fixed.FIELDS) == 31 and len(fixed.REQUIRED) == 19
+
+
+def test_cents_follow_the_binary_value(spark):
+    import math
+    import random
+
+    draw = random.Random(1)
+    values = [2.675, 0.125, 0.375, 0.005, 0.015, 1.005, 0.0005, 0.0, -2.675, -0.125, 99.995, 1e-300, 5e-324, 2.0**44 + 0.125, 0.001, math.nextafter(0.125, 1), math.nextafter(0.125, 0), math.nextafter(0.005, 0)]
+    values += [draw.uniform(-1, 1) * 10 ** draw.uniform(-3, 4) for _ in range(200_000)] + [draw.randrange(10**7) / 1000 + 0.0005 for _ in range(100_000)] + [k / 8 for k in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    wrong = [r for r in df.select("x", C.rounded_cents(F.col("x")).alias("y")).collect() if r["y"] != round(r["x"], 2)]
+    assert not wrong, wrong[:5]
+    odd = spark.createDataFrame([(None,), (math.inf,), (math.nan,), (1e300,)], "x double").select(C.rounded_cents(F.col("x")).alias("y")).collect()
+    assert [r["y"] is None or not math.isfinite(r["y"]) or r["y"] == 1e300 for r in odd] == [True] * 4

@@ -28,6 +28,12 @@ def test_boundary_drops_blank_and_uncertain(spark):
     assert sorted((r["variant"], r["text"], r["x"], r["height"]) for r in rows) == [("A", "a", 15, 30), ("B", "a", 15, 30)]
 
 
+def test_faint_images_are_read_once_more(spark):
+    found = spark.createDataFrame([("faint", bytearray(b"x"), 12.0), ("clear", bytearray(b"x"), 40.0), ("unknown", bytearray(b"x"), None)], "sha256 string, content binary, contrast double")
+    rows = inbox.ocr_tokens(found, lambda: lambda content, variant: [("a", 0, 0, 1, 1, 91.0, 1.0)]).collect()
+    assert {n: sorted(r["variant"] for r in rows if r["image_id"] == n) for n in ("faint", "clear", "unknown")} == {"faint": ["A", "B", "C", "D"], "clear": ["A", "B", "C"], "unknown": ["A", "B", "C"]}
+
+
 def test_records_round_trip_and_script(spark, tmp_path):
     made = record_plan.structured(spark.createDataFrame(page(LINES), OCR_TOKENS))
     n = sinks.write_script(made.withColumn("MY", F.col("MY")), str(tmp_path / "script.ahk"))

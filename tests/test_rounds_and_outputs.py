@@ -161,3 +161,14 @@ def test_half_written_batches_are_not_read(spark, tmp_path):
     out.write(spark.createDataFrame([("b", 28, 1, 111, "f2", "VALIDATED", None)], RESULT), 1)
     (tmp_path / "out/results/batch=1/_SUCCESS").unlink()
     assert [r["image"] for r in out.read(spark, sinks.SUCCESSFUL, RESULT).collect()] == ["a"]
+
+
+def test_script_is_written_by_tasks_in_order(spark, tmp_path):
+    fields = {n: (f"{n} {{1}}", n, 90.0, False, []) for n in fixed.FIELDS}
+    rows = [(k * 7919 % 1000, 1, "VALIDATED" if k % 3 else "PENDING", fields) for k in range(300)] + [(5, 2, "REVIEW_REQUIRED", dict(list(fields.items())[:30]))]
+    records = spark.createDataFrame(rows, f"form_no int, record_number int, status string, fields map<string,{FIELD.simpleString()}>").repartition(7)
+    path = tmp_path / "script.ahk"
+    path.write_text("old")
+    assert sinks.write_script(records, str(path)) == 200
+    lines = [r["line"] for r in sinks.entry_script(records).orderBy("form_no", "record_number").collect()]
+    assert path.read_text(encoding="utf-8").split("\n") == [*sinks.SCRIPT_HEAD, *lines, *sinks.SCRIPT_TAIL, ""] and [p.name for p in tmp_path.iterdir()] == ["script.ahk"]
