@@ -65,7 +65,7 @@ def test_hard_negatives_are_those_of_brute_force(spark, blocks):
 
 
 def test_hard_negatives_of_odd_rows(spark):
-    rows = vectors(30, 3, 2) + [(50, None, [1.0, 0, 0]), (None, 1, [1.0, 0, 0]), (55, 1, None), (60, 1, [1.0, None, 0.0]), (65, 1, [1.0, math.nan, 0.0]), (70, 1, [math.inf, 0.0, 0.0])]
+    rows = vectors(30, 3, 2) + [(50, None, [1.0, 0.0, 0.0]), (None, 1, [1.0, 0.0, 0.0]), (55, 1, None), (60, 1, [1.0, None, 0.0]), (65, 1, [1.0, math.nan, 0.0]), (70, 1, [math.inf, 0.0, 0.0])]
     rows += [(75, 1, []), (80, 0, []), (85, 1, [0.5, 0.25]), (90, 1, [0.5, 0.5]), (91, 0, [0.5, 0.0]), (0, 2, [0.3, 0.2, 0.1])]  # unlike lengths, a repeated id
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = hard_negatives.hard_negatives(table, F.col("vec_id") % 5 == 0).collect()
