@@ -58,8 +58,7 @@ def rounded_cents(x: Column) -> Column:
         cents = limb(a - whole, lambda f1, r1: limb(r1, lambda f2, r2: limb(r2, lambda f3, _: settle(f1 * (1 << bits) + f2, f3))))
         return F.when(a < 0.001, 0.0).otherwise((whole * 100 + cents) / F.lit(100.0))
 
-    signed = lambda a: F.when(a < float(1 << 45), F.when(x < 0, -exact(a)).otherwise(exact(a))).otherwise(F.bround(x, 2))
-    return let(F.abs(x), signed)
+    return let(F.abs(x), lambda a: F.when(a < float(1 << 45), F.signum(x) * exact(a)).otherwise(F.bround(x, 2)))
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:

@@ -13,7 +13,7 @@ def spark():
 
     made = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "3g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyform-tests-")).config("spark.sql.warehouse.dir", tempfile.mkdtemp()).getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
