@@ -39,7 +39,7 @@ def test_rows_are_those_of_first_fit(spark, kind):
     for page in range(40):
         for k in range(draw.randrange(1, 90)):
             y = draw.randrange(300) if kind != "lines" else draw.randrange(8) * 45 + draw.randrange(9)
-            height = draw.choice([0, 2, 12, 18, 20, 31, 60]) if kind == "odd" else draw.randrange(14, 24)
+            height = draw.choice([0, 2, 12, 18, 20, 31, 60, -9]) if kind == "odd" else draw.randrange(14, 24)
             pages.append((f"p{page}", draw.choice("AB"), k, draw.choice(["—", "•", "a", "bc", "-", "d e"]), draw.randrange(0, 400, 50), y, 30, height, float(draw.randrange(100))))
     got = {}
     for r in layout.cluster_rows(spark.createDataFrame(pages, OCR_TOKENS)).collect():
