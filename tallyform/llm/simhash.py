@@ -21,6 +21,8 @@ HASH_BLOCK = 1 << 14
 STAGE_WORDS, NUM, DEN = 5, 4, 5
 #: Longer lists of shingles are linked over their leaders first. Texts that the order of shingles is learned from, and how many of them make a shingle common.
 LIST_SETS, ORDER_TEXTS, COMMON = 16, 20_000, 8
+#: Longs of a set's parities. Rounds of leaders at most, before what is left of long lists meets by its pairs.
+PARITY_LONGS, ROUNDS = 8, 6
 
 
 def shingle_hashes(text: bytes, words: int):
@@ -123,9 +125,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _sets_udf(words: int, common, ranks):
-    """fp, digest, n and prefix of a text's set of shingles; common shingles (sorted, with ranks) come last in its order."""
+    """fp, digest, n, parity and prefix of a text's set of shingles; common shingles (sorted, with ranks) come last in its order.
 
-    @F.pandas_udf("fp long, digest binary, n int, prefix array<long>")
+    Bit i of parity tells whether an odd number of the shingles have i as their hash's remainder.
+    """
+
+    @F.pandas_udf("fp long, digest binary, n int, parity array<long>, prefix array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         import hashlib
 
@@ -140,8 +145,11 @@ def _sets_udf(words: int, common, ranks):
                 rank = np.where(common[at] == s, ranks[at], 0)
             first = s[np.lexsort((s, np.broadcast_to(rank, s.shape)))][: len(s) - -(-len(s) * NUM // DEN) + 1]
             print_ = fingerprint_from(h)
-            out.append((print_ - (1 << 64) if print_ >> 63 else print_, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), first.view("<i8")))
-        return pd.DataFrame(out, columns=["fp", "digest", "n", "prefix"])
+            bits = 64 * PARITY_LONGS
+            odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+            parity = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+            out.append((print_ - (1 << 64) if print_ >> 63 else print_, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), parity, first.view("<i8")))
+        return pd.DataFrame(out, columns=["fp", "digest", "n", "parity", "prefix"])
 
     return made
 
@@ -190,15 +198,24 @@ def _pair(a: str, b: str) -> list:
     return [F.least(f"{a}.sid", f"{b}.sid").alias("a"), F.greatest(f"{a}.sid", f"{b}.sid").alias("b")]
 
 
+def _near_parities() -> F.Column:
+    """Each unshared shingle flips one parity, and a similar pair has (n_a + n_b) (DEN - NUM) / (DEN + NUM) of them at most."""
+    flipped = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY_LONGS)), F.lit(0))
+    return flipped * (DEN + NUM) <= (F.col("a.n") + F.col("b.n")) * (DEN - NUM)
+
+
 def _tallied(meets: DataFrame) -> DataFrame:
-    """(a, b, c, need): pairs that fit, how many lists they met in, and how many posted shingles a similar pair shares at least.
+    """(a, b, c, need, fits): pairs whose sizes fit, how many lists they met in, and how many posted shingles a similar pair shares at least.
+
+    fits tells whether the place in some of these lists leaves enough overlap. A similar pair's first common shingle
+    does, which may stand in a list that isn't among these.
 
     Of the overlap, what isn't posted by both is beyond the postings of one: n NUM / DEN shingles, rounded up, less one.
     """
     n_a, n_b = F.col("a.n"), F.col("b.n")
     need = F.ceil((n_a + n_b) * NUM / (NUM + DEN)) - F.greatest(F.ceil(n_a * NUM / DEN), F.ceil(n_b * NUM / DEN)) + 1
     sized = meets.where((n_a * DEN >= n_b * NUM) & (n_b * DEN >= n_a * NUM)).select(*_pair("a", "b"), need.alias("need"), _fit("a", "b").alias("fits"))
-    return sized.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("fits").alias("fits")).where("fits").drop("fits")
+    return sized.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("fits").alias("fits"))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -222,48 +239,87 @@ def _similar(candidates: DataFrame, sets: DataFrame, base: DataFrame, text, word
     return written(candidates.join(of("a"), "a").join(of("b"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar", 64)[0]
 
 
+def _leaders(members: DataFrame, order: F.Column, *within: str) -> DataFrame:
+    """The last member of each list (and of each part of it) by ``order``."""
+    top = members.groupBy("token", *within).agg(F.max_by(F.struct("sid", "n", "parity"), order).alias("l"))
+    return top.select("token", "l.*", *within)
+
+
+def _led(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b): members with the leaders of their lists, as far as sizes and parities let them be similar."""
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    meets = members.alias("a").join(leaders.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") != F.col("b.sid")) & (n_a * DEN >= n_b * NUM) & (n_b * DEN >= n_a * NUM) & _near_parities())
+    return meets.select(*_pair("a", "b")).distinct()
+
+
+def _linked_in_long_lists(long: DataFrame, edges: DataFrame, similar) -> DataFrame:
+    """edges (src, dst) and what joins the components of all similar pairs that meet in long lists; similar checks pairs.
+
+    A large group of copies is linked by few of its pairs. So in rounds, what isn't in its list's largest component meets
+    a leader of that component and one of the rest, others each time, for as long as that leaves much fewer pairs of
+    different components. All pairs that are left then meet, and parities drop the unlike ones in the join: only the
+    comparisons of long lists of unlike sets grow with the square, not what they make.
+    """
+    size = long.count()
+    left = None
+    for k in range(ROUNDS + 1 if size else 0):
+        joined = connected_components(edges)
+        edges = joined.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+        placed = long.join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        placed, _ = written(placed, "placed")
+        parts = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token")
+        largest = parts.agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all")).select("token", F.col("m.component").alias("largest"), F.col("m.k").alias("most"), "all")
+        largest, _ = written(largest, "largest")
+        before, left = left, largest.agg(F.sum((F.col("all") - F.col("most")) * (F.col("all") + F.col("most")) / 2)).first()[0]
+        others = placed.join(largest.select("token", "largest"), "token").where("component <> largest")
+        if k == ROUNDS or left <= LIST_SETS * size or before is not None and left > 0.75 * before:
+            break
+        sides = placed.join(largest.where("most < all").select("token", "largest"), "token").withColumn("rest", F.col("component") != F.col("largest"))
+        order = F.struct("k", F.xxhash64("sid")) if k == 0 else F.xxhash64("sid", F.lit(k))
+        edges = edges.union(similar(_led(others, _leaders(sides, order, "rest"))))
+    if left:
+        # a pair that meets in a short list too has been checked; of any other similar pair, the place of the first common shingle fits
+        unlinked = F.expr("a.token = b.token and a.component <> b.component and (b.component = a.largest or a.sid < b.sid)")
+        rest = others.alias("a").join(placed.alias("b"), unlinked & _fit("a", "b") & _near_parities())
+        edges = edges.union(similar(rest.select(*_pair("a", "b"))))
+    return edges
+
+
 def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_WORDS) -> DataFrame:
     """(loc_file, loc_row) of all rows of located docs but one of each group linked by similarities of NUM / DEN or more.
 
     Of a group the smallest id stays, then the first locator; null ids come last. Rows of equal sets are one set.
     The fingerprint index proposes pairs within MOST_BITS. It reaches few of the pairs at 0.8, so sets also meet by
     shingle: rare ones first, a set of n posts n - ceil(n NUM / DEN) + 1, which no similar pair escapes. Lists of up to
-    LIST_SETS give their pairs; in longer ones each set meets a leader of the list, and then those that aren't in the
-    list's largest component meet all sets of other components: no list is dropped, and a large group of copies doesn't
-    give its square. A long list of unlike sets still does. The lists that a pair shares are counted; what they and the
-    postings leave room for is checked. Each proposed pair is checked on its whole sets.
+    LIST_SETS give their pairs; in longer ones each set meets leaders of the list (see _linked_in_long_lists): no list is
+    dropped, and a large group of copies doesn't give its square. The lists that a pair shares are counted; what they
+    and the postings leave room for is checked. Each proposed pair is checked on its whole sets.
     """
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     common, ranks = _common_shingles(base.select(text.alias("text")), words)
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row")
     made = base.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "loc_file", "loc_row", _sets_udf(words, common, ranks)(text).alias("s"))
-    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.prefix"), "rows", 64)
+    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.parity", "s.prefix"), "rows", 64)
     firsts = rows.groupBy("digest").agg(F.min(key).alias("first"))
     sets, _ = written(firsts.select("digest", "first", F.col("first.loc_file").alias("loc_file"), F.col("first.loc_row").alias("loc_row"), F.monotonically_increasing_id().alias("sid")), "sets")
-    held = rows.select("loc_file", "loc_row", "fp", "n", "prefix").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"])
+    held = rows.select("loc_file", "loc_row", "fp", "n", "parity", "prefix").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"])
     posted = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     listed, _ = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "listed")
     short, long = listed.where(F.col("size") <= LIST_SETS), listed.where(F.col("size") > LIST_SETS)
     near = short.alias("a").join(short.alias("b"), F.expr("a.token = b.token and a.sid < b.sid"))
     longs = long.groupBy("sid").agg(F.count("*").alias("k"))
     of = lambda side: longs.select(F.col("sid").alias(side), F.col("k").alias(f"k_{side}"))
-    near = _tallied(near).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("c") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= F.col("need")).select("a", "b")
-    lead = long.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid"), "sid", "n", "at")).alias("l")).select("token", "l.sid", "l.n", "l.at")
-    led = _tallied(long.alias("a").join(lead.alias("b"), F.expr("a.token = b.token and a.sid <> b.sid"))).where("c >= need").select("a", "b")
+    beyond = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
+    near = _tallied(near).join(of("a"), "a", "left").join(of("b"), "b", "left").where((F.col("fits") | (beyond > 0)) & (F.col("c") + beyond >= F.col("need"))).select("a", "b")
+    long, _ = written(long.join(longs, "sid").join(held.select("sid", "parity"), "sid"), "long")
+    led = _led(long, _leaders(long, F.struct("k", F.xxhash64("sid"))))
     prints, _ = written(rows.select("fp", "loc_file", "loc_row").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"]).select("fp", "sid"), "prints")
     heads, _ = written(prints.groupBy("fp").agg(F.min("sid").alias("sid")), "heads")
     alike = prints.alias("a").join(heads.alias("b"), "fp").select(*_pair("a", "b"))
     links = fingerprint_links(heads.select("fp"))
     close = links.join(heads.select(F.col("fp").alias("src"), F.col("sid").alias("x")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("sid").alias("y")), "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     edges = _similar(near.union(led).union(alike).union(close), sets, base, text, words)
-    if long.limit(1).count():
-        joined = connected_components(edges).withColumnRenamed("id", "sid")
-        placed, _ = written(long.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
-        largest = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("largest"))
-        others = placed.join(largest, "token").where("component <> largest")
-        rest = others.alias("a").join(placed.alias("b"), F.expr("a.token = b.token and a.component <> b.component and (b.component = a.largest or a.sid < b.sid)"))
-        # a pair that meets in a short list too has been checked, so c is all that others can share
-        edges = edges.union(_similar(_tallied(rest).where("c >= need").select("a", "b"), sets, base, text, words))
+    edges = _linked_in_long_lists(long, edges, lambda pairs: _similar(pairs, sets, base, text, words))
     joined = connected_components(edges).withColumnRenamed("id", "sid")
     reach = sets.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = reach.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))

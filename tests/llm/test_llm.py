@@ -148,6 +148,41 @@ def test_near_copies_go(spark, odd, empty, monkeypatch, lists):
     assert corpus_pipeline.drop_near_copies(spark, odd, "").columns == odd.columns and corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
 
 
+@pytest.mark.parametrize(("n", "lists", "rounds", "common"), [(160, 16, 6, 8), (60, 2, 0, 8), (120, 40, 6, 10_000)])
+def test_a_group_of_near_copies_does_not_give_its_square(spark, monkeypatch, n, lists, rounds, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "LIST_SETS", lists)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds, raising=False)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(150, size=(1, 2, 2, 3, 6)[i % 5], replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    checked = []
+    real = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *a: checked.append(pairs.distinct().count()) or real(pairs, *a))
+    shingles = [{tuple(w[k : k + 5]) for k in range(146)} for w in (t.split() for _, t in rows)]
+    alike = [(a, b) for a in range(n) for b in range(a) if len(shingles[a] & shingles[b]) * 5 >= len(shingles[a] | shingles[b]) * 4]
+    got = {r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(roots(n, alike)) and 1 < len(got) < n
+    assert rounds == 0 or sum(checked) <= 10 * n
+
+
+def test_a_link_whose_first_shingles_are_in_long_lists(spark, monkeypatch):
+    """The 13 first shared shingles of two near copies are in lists of three, the others in lists of two, too far back to leave room."""
+    monkeypatch.setattr(simhash, "LIST_SETS", 2)
+    a = [f"w11a{i}" for i in range(150)]
+    b = [f"c11b{i}" if i in (20, 70, 120) else w for i, w in enumerate(a)]
+    shared = np.intersect1d(*(simhash.shingle_hashes(" ".join(x).encode(), 5) for x in (a, b)))[:13]
+    parts = [" ".join(a[i : i + 5]) for i in range(146) if simhash.shingle_hashes(" ".join(a[i : i + 5]).encode(), 5)[0] in shared]
+    rows = [(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(f"{x} f{i} g{i} h{i} j{i} k{i}" for i, x in enumerate(parts)))]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(parts) == 13 and {r["doc_id"] for r in got} == {0, 2}
+
+
 def test_vector_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 20)
     rng = np.random.default_rng(3)
