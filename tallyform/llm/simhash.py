@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import connected_components, located, written
+from .util import connected_components, located, remove, scratch, written
 
 #: Differing bits of a link, and so the positional bytes (of 8) that a linked pair shares at least.
 MOST_BITS = 2
@@ -23,6 +23,8 @@ STAGE_WORDS, NUM, DEN = 5, 4, 5
 LIST_SETS, ORDER_TEXTS, COMMON = 16, 20_000, 8
 #: Longs of a set's parities. Rounds of leaders at most, before what is left of long lists meets by its pairs.
 PARITY_LONGS, ROUNDS = 8, 6
+#: Locators up to which texts meet them by a broadcast.
+FEW = 100_000
 
 
 def shingle_hashes(text: bytes, words: int):
@@ -125,12 +127,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _sets_udf(words: int, common, ranks):
-    """fp, digest, n, parity and prefix of a text's set of shingles; common shingles (sorted, with ranks) come last in its order.
+    """fp, digest, n, parity, bits and prefix of a text's set of shingles; common shingles (sorted, with ranks) come last in its order.
 
-    Bit i of parity tells whether an odd number of the shingles have i as their hash's remainder.
+    Bit i of parity tells whether an odd number of the shingles have i as their hash's remainder. bits are such parities
+    too, at least as many as the set has shingles: a power of two, so that longer ones fold to shorter ones.
     """
 
-    @F.pandas_udf("fp long, digest binary, n int, parity array<long>, prefix array<long>")
+    @F.pandas_udf("fp long, digest binary, n int, parity array<long>, bits binary, prefix array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         import hashlib
 
@@ -145,11 +148,10 @@ def _sets_udf(words: int, common, ranks):
                 rank = np.where(common[at] == s, ranks[at], 0)
             first = s[np.lexsort((s, np.broadcast_to(rank, s.shape)))][: len(s) - -(-len(s) * NUM // DEN) + 1]
             print_ = fingerprint_from(h)
-            bits = 64 * PARITY_LONGS
-            odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-            parity = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-            out.append((print_ - (1 << 64) if print_ >> 63 else print_, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), parity, first.view("<i8")))
-        return pd.DataFrame(out, columns=["fp", "digest", "n", "parity", "prefix"])
+            odd = lambda m: np.packbits((np.bincount((s % np.uint64(m)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little")  # noqa: B023, E731
+            bits = odd(max(64, 1 << max(len(s) - 1, 0).bit_length())).tobytes()
+            out.append((print_ - (1 << 64) if print_ >> 63 else print_, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), odd(64 * PARITY_LONGS).view("<i8"), bits, first.view("<i8")))
+        return pd.DataFrame(out, columns=["fp", "digest", "n", "parity", "bits", "prefix"])
 
     return made
 
@@ -230,13 +232,37 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def _near_bits(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """What _near_parities tells, by parities that grow with the sets, so that they drop unlike sets of any size; n has both sizes."""
+    import numpy as np
+
+    out = []
+    for both, x, y in zip(n, a, b, strict=True):
+        x, y = sorted((np.frombuffer(v, dtype="<u8") for v in (x, y)), key=len)
+        flipped = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x
+        out.append(int.from_bytes(flipped.tobytes(), "little").bit_count() * (DEN + NUM) <= int(both) * (DEN - NUM))
+    return pd.Series(out, dtype=bool)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _similar(candidates: DataFrame, sets: DataFrame, base: DataFrame, text, words: int) -> DataFrame:
-    """(src, dst): candidates (a, b) whose whole sets of shingles have a Jaccard similarity of NUM / DEN or more."""
-    candidates, _ = written(candidates.where("a <> b").distinct(), "candidates")
-    need = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "loc_file", "loc_row"), "sid")
-    whole, _ = written(base.select(text.alias("text"), "loc_file", "loc_row").join(need, ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles", 64)
-    of = lambda side: whole.select(F.col("sid").alias(side), F.col("s").alias(f"s_{side}"))
-    return written(candidates.join(of("a"), "a").join(of("b"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar", 64)[0]
+    """(src, dst): candidates (a, b) whose whole sets of shingles have a Jaccard similarity of NUM / DEN or more.
+
+    Whole sets are made and sent only of pairs that their own parities leave room for.
+    """
+    of = lambda rows, side, *cols: rows.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
+    met, met_path = written(candidates.where("a <> b").distinct(), "candidates")
+    sized = met.join(of(sets, "a", "n", "bits"), "a").join(of(sets, "b", "n", "bits"), "b")
+    near, near_path = written(sized.where(_near_bits(F.col("n_a") + F.col("n_b"), "bits_a", "bits_b")).select("a", "b"), "near")
+    need, need_path = written(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "loc_file", "loc_row"), "sid"), "need")
+    whole, path = written(base.select(text.alias("text"), "loc_file", "loc_row").join(_few(need), ["loc_file", "loc_row"]).select("sid", _shingles_udf(words)("text").alias("s")), "shingles", 64)
+    out, _ = written(near.join(of(whole, "a", "s"), "a").join(of(whole, "b", "s"), "b").where(_alike("s_a", "s_b")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar", 64)
+    remove(base.sparkSession, met_path, near_path, need_path, path)
+    return out
 
 
 def _leaders(members: DataFrame, order: F.Column, *within: str) -> DataFrame:
@@ -275,7 +301,7 @@ def _linked_in_long_lists(long: DataFrame, edges: DataFrame, similar) -> DataFra
         if k == ROUNDS or left <= LIST_SETS * size or before is not None and left > 0.75 * before:
             break
         sides = placed.join(largest.where("most < all").select("token", "largest"), "token").withColumn("rest", F.col("component") != F.col("largest"))
-        order = F.struct("k", F.xxhash64("sid")) if k == 0 else F.xxhash64("sid", F.lit(k))
+        order = F.struct("k", F.xxhash64("parity")) if k == 0 else F.xxhash64("parity", F.lit(k))
         edges = edges.union(similar(_led(others, _leaders(sides, order, "rest"))))
     if left:
         # a pair that meets in a short list too has been checked; of any other similar pair, the place of the first common shingle fits
@@ -297,37 +323,41 @@ def near_copies(base: DataFrame, id_col: str, text_col: str, words: int = STAGE_
     """
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     common, ranks = _common_shingles(base.select(text.alias("text")), words)
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "loc_file", "loc_row", "sid")
     made = base.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "loc_file", "loc_row", _sets_udf(words, common, ranks)(text).alias("s"))
-    rows, _ = written(made.select("doc_id", "loc_file", "loc_row", "s.fp", "s.digest", "s.n", "s.parity", "s.prefix"), "rows", 64)
-    firsts = rows.groupBy("digest").agg(F.min(key).alias("first"))
-    sets, _ = written(firsts.select("digest", "first", F.col("first.loc_file").alias("loc_file"), F.col("first.loc_row").alias("loc_row"), F.monotonically_increasing_id().alias("sid")), "sets")
-    held = rows.select("loc_file", "loc_row", "fp", "n", "parity", "prefix").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"])
-    posted = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
-    listed, _ = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "listed")
+    rows, _ = written(made.select(F.monotonically_increasing_id().alias("sid"), "doc_id", "loc_file", "loc_row", "s.*"), "rows", 64)
+    named = rows.select("sid", "doc_id", "loc_file", "loc_row")
+    twice = rows.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
+    same, _ = written(rows.select("digest", "sid", "doc_id", "loc_file", "loc_row").join(twice, "digest"), "same")
+    firsts = same.groupBy("digest").agg(F.min(key).alias("first")).select("digest", F.col("first.sid").alias("first"))
+    again, _ = written(same.join(firsts, "digest").where("sid <> first").select("sid", "loc_file", "loc_row"), "again")
+    sets = rows.join(again.select("sid"), "sid", "left_anti")
+    posted = sets.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
+    listed, listed_path = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "listed")
     short, long = listed.where(F.col("size") <= LIST_SETS), listed.where(F.col("size") > LIST_SETS)
     near = short.alias("a").join(short.alias("b"), F.expr("a.token = b.token and a.sid < b.sid"))
     longs = long.groupBy("sid").agg(F.count("*").alias("k"))
     of = lambda side: longs.select(F.col("sid").alias(side), F.col("k").alias(f"k_{side}"))
     beyond = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
     near = _tallied(near).join(of("a"), "a", "left").join(of("b"), "b", "left").where((F.col("fits") | (beyond > 0)) & (F.col("c") + beyond >= F.col("need"))).select("a", "b")
-    long, _ = written(long.join(longs, "sid").join(held.select("sid", "parity"), "sid"), "long")
-    led = _led(long, _leaders(long, F.struct("k", F.xxhash64("sid"))))
-    prints, _ = written(rows.select("fp", "loc_file", "loc_row").join(sets.select("sid", "loc_file", "loc_row"), ["loc_file", "loc_row"]).select("fp", "sid"), "prints")
-    heads, _ = written(prints.groupBy("fp").agg(F.min("sid").alias("sid")), "heads")
-    alike = prints.alias("a").join(heads.alias("b"), "fp").select(*_pair("a", "b"))
+    long, _ = written(long.join(longs.join(sets.select("sid", "parity"), "sid"), "sid"), "long")
+    led = _led(long, _leaders(long, F.struct("k", F.xxhash64("parity"))))
+    heads, _ = written(sets.groupBy("fp").agg(F.min("sid").alias("sid")), "heads")
+    alike = sets.select("fp", "sid").alias("a").join(heads.alias("b"), "fp").select(*_pair("a", "b"))
     links = fingerprint_links(heads.select("fp"))
     close = links.join(heads.select(F.col("fp").alias("src"), F.col("sid").alias("x")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("sid").alias("y")), "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     edges = _similar(near.union(led).union(alike).union(close), sets, base, text, words)
+    remove(base.sparkSession, listed_path)
     edges = _linked_in_long_lists(long, edges, lambda pairs: _similar(pairs, sets, base, text, words))
-    joined = connected_components(edges).withColumnRenamed("id", "sid")
-    reach = sets.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    kept = reach.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.loc_file").alias("loc_file"), F.col("k.loc_row").alias("loc_row"))
-    return rows.select("loc_file", "loc_row").join(kept, ["loc_file", "loc_row"], "left_anti")
+    linked, _ = written(named.join(connected_components(edges).withColumnRenamed("id", "sid"), "sid"), "linked")
+    kept = linked.groupBy("component").agg(F.min(key).alias("k")).select("component", F.col("k.sid").alias("kept"))
+    return linked.join(kept, "component").where("sid <> kept").select("loc_file", "loc_row").union(again.select("loc_file", "loc_row"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS) -> DataFrame:
-    """docs, in their own columns, without the rows that near_copies names."""
+    """docs, in their own columns, without the rows that near_copies names. The scratch tables of the search are gone by then."""
     base = located(docs)
-    gone, _ = written(near_copies(base, id_col, text_col, words), "gone")
-    return base.join(gone, ["loc_file", "loc_row"], "left_anti").select("row.*")
+    with scratch(docs.sparkSession) as made:
+        gone, path = written(near_copies(base, id_col, text_col, words), "gone")
+        made.remove(path)
+    return base.join(_few(gone), ["loc_file", "loc_row"], "left_anti").select("row.*")

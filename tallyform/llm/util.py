@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, remove, scratch_dir, settings, written
+from ..storage import new_path, remove, scratch, scratch_dir, settings, written
 
-__all__ = ["WORD", "connected_components", "located", "new_path", "remove", "scratch_dir", "settings", "small_batches", "written"]
+__all__ = ["WORD", "connected_components", "located", "new_path", "remove", "scratch", "scratch_dir", "settings", "small_batches", "written"]
 
 #: Spark SQL (Java) pattern of a word: what no ASCII white space breaks.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from pathlib import Path
@@ -544,3 +545,28 @@ def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_leave_no_scratch_and_unlike_sets_unread(spark, monkeypatch):
+    """Sets of one hot passage meet; what their own parities drop is not read whole, and of all tables only the verdict stays."""
+    made, read, real = [], [], simhash.written
+    monkeypatch.setattr(simhash, "LIST_SETS", 2)
+
+    def spy(df, name, *a):
+        out = real(df, name, *a)
+        made.append((name, out[1]))
+        if name == "shingles":
+            read.extend(r["sid"] for r in out[0].select("sid").collect())
+        return out
+
+    monkeypatch.setattr(simhash, "written", spy)
+    rng = np.random.default_rng(5)
+    own = lambda: [f"w{x}" for x in rng.integers(0, 1 << 30, 2000)]
+    hot = [f"hot{i}" for i in range(40)]
+    texts = [own() + hot for _ in range(12)]
+    texts.append([*texts[0][:-45], "tail"])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == set(range(12))
+    assert len(set(read)) == 2
+    assert [name for name, path in made if os.path.exists(path.removeprefix("file:"))] == ["gone"]
