@@ -188,3 +188,23 @@ def test_quality(spark):
     assert {r["k"]: r["is_blank"] for r in quality.gate(px, ["k"], "v").collect()} == {"blank": True, "text": False}
     bins = spark.createDataFrame([("a", b) for b in [10] * 5 + [12] * 5 + [200] * 9] + [("flat", 7)] * 3, "k string, bin long")
     assert {r["k"]: r["threshold"] for r in quality.thresholds(bins, ["k"]).collect()} == {"a": 12, "flat": 128}
+
+
+def test_values_alone_are_a_small_plan_and_the_fields_values(spark):
+    """Reading values took minutes of planning and interpreted expressions; the plan must not grow with the fields' rules."""
+    from tallyform.plans import queries as Q
+
+    made = spark.range(30).select(F.col("id").alias("k"), Q._laid_out(Q._texts(F.col("id"))).alias("tokens"))
+    values = extraction.extract_values(made, ("k",))
+    assert len(values._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    whole = {r["k"]: {n: r[n]["value"] for n in fixed.FIELDS} for r in extraction.extract_columns(made, ("k",)).collect()}
+    assert {r["k"]: {n: r[n] for n in fixed.FIELDS} for r in values.collect()} == whole
+
+
+def test_heavy_rows_are_dealt_over_the_cores(spark, tmp_path):
+    from tallyform.plans import queries as Q
+
+    spark.range(50).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    rows = Q.extract31(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= cores and rows.count() == 50
