@@ -172,3 +172,16 @@ def test_script_is_written_by_tasks_in_order(spark, tmp_path):
     assert sinks.write_script(records, str(path)) == 200
     lines = [r["line"] for r in sinks.entry_script(records).orderBy("form_no", "record_number").collect()]
     assert path.read_text(encoding="utf-8").split("\n") == [*sinks.SCRIPT_HEAD, *lines, *sinks.SCRIPT_TAIL, ""] and [p.name for p in tmp_path.iterdir()] == ["script.ahk"]
+
+
+def test_a_later_round_works_on_changed_records_alone(spark, tmp_path, monkeypatch):
+    """Two records of eight are told a new value that leaves another round; the other rounds must not calculate all records again."""
+    from tallyform.operators import validation
+    from tallyform.plans import queries as Q
+
+    spark.range(16).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    seen, real = [], validation.calculated
+    monkeypatch.setattr(validation, "calculated", lambda records: seen.append(records.count()) or real(records))
+    rows = Q.retry_rounds(spark, str(tmp_path)).collect()
+    assert {r["o_orderkey"] for r in rows} == set(range(16)) and max(r["round"] or 0 for r in rows) == 2
+    assert seen[0] == 16 and seen[1] < 16 and seen[2:] == [2]
