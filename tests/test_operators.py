@@ -208,3 +208,11 @@ def test_heavy_rows_are_dealt_over_the_cores(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     rows = Q.extract31(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() >= cores and rows.count() == 50
+
+
+def test_structured_keeps_tokens_once(spark, monkeypatch):
+    """What is kept on disk between the passes held every word twice: in its row and in the record's tokens."""
+    kept, real = [], layout.best_variant
+    monkeypatch.setattr(layout, "best_variant", lambda records: kept.append(records.columns) or real(records))
+    record_plan.structured(spark.createDataFrame([], OCR_TOKENS))
+    assert kept == [["image_id", "variant", "record_number", "tokens", "source_text"]]
